@@ -8,19 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taglog.llm.common import table
 from taglog.llm.decontaminate import contamination_report
+from taglog.llm.langid import identify, train
 from taglog.llm.media import encode_media, media_features
+from taglog.llm.packing import pack_documents
+from taglog.llm.sharding import shard_report
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(encode_media(table(spark, sf_dir, "documents")))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_report(table(spark, sf_dir, "documents"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, train(docs))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_media_columns": op6_media_columns,
+    "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_sharding": op8_sharding,
+    "op9_language_id": op9_language_id,
     "op10_decontaminate": op10_decontaminate,
 }
 
