@@ -8,12 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taglog.llm.common import table
 from taglog.llm.decontaminate import contamination_report
+from taglog.llm.jaccard import jaccard_classes
 from taglog.llm.langid import identify, train
 from taglog.llm.media import encode_media, media_features
 from taglog.llm.packing import pack_documents
 from taglog.llm.sharding import shard_report
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("n_members")
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_features(encode_media(table(spark, sf_dir, "documents")))
 
@@ -36,6 +41,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_media_columns": op6_media_columns,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_sharding": op8_sharding,
