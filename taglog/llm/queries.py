@@ -8,13 +8,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from taglog.llm.common import table
 from taglog.llm.decontaminate import contamination_report
+from taglog.llm.html_text import extract_text
 from taglog.llm.jaccard import jaccard_classes
 from taglog.llm.langid import identify, train
 from taglog.llm.media import encode_media, media_features
 from taglog.llm.packing import pack_documents
+from taglog.llm.quality import judge
+from taglog.llm.quality import train as train_quality
 from taglog.llm.sharding import shard_report
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    evidence = train_quality(docs, table(spark, sf_dir, "labels"))
+    return judge(docs.select("doc_id", "text", "source"), evidence).drop("text")
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"), n=4, num=85, den=100).drop("n_members")
 
@@ -41,6 +54,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_quality_classifier": op3_quality_classifier,
+    "op4_html_extraction": op4_html_extraction,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_media_columns": op6_media_columns,
     "op7_best_fit_packing": op7_best_fit_packing,
