@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import os
 import tempfile
 from collections.abc import Iterator
@@ -36,6 +37,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the context cleaner delete shuffle files that no plan refers to any more (after ``cut``)."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer of splitmix64: every input bit reaches every output bit."""
     x = (x ^ (x >> np.uint64(30))) * _MIX_A

@@ -34,11 +34,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taglog.llm.common import SPACE_WORDS, Words, buffers, cut, ids_of, mix64, shingles, steps
+from taglog.llm.common import SPACE_WORDS, Words, buffers, cut, ids_of, mix64, release, shingles, steps
 from taglog.llm.components import connected_components
 
 #: Tokens and documents of a chunk at most (one longer document is a chunk of its own); sets of a block at most.
-CHUNK_TOKENS, CHUNK_DOCS, BLOCK = 2_000_000, 60_000, 1500
+CHUNK_TOKENS, CHUNK_DOCS, BLOCK = 1_000_000, 60_000, 1500
 #: Index entries that are skipped together, and computed answers that a task keeps to derive others from.
 SKIP, KEPT = 64, 16
 _LOW = np.uint64((1 << 48) - 1)
@@ -368,6 +368,8 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, text_col: str = "
     wire = docs.select(text_col).mapInArrow(_chunks(n, ranges), _WIRE_SQL)
     found = wire.groupBy("r").applyInArrow(_count_range, _WIRE_SQL)
     alive = cut(found.groupBy("p").applyInArrow(_gather_chunk(num, den), "p long, sig binary, size long, tokens binary, central double"))
+    del wire, found
+    release(spark)  # the packed tokens are the bulk of all shuffles
     once = alive.groupBy("sig").agg(F.min("p").alias("p"))  # equal sets of different chunks
     sets = cut(alive.join(once, ["sig", "p"], "left_semi").drop("p"))
 
