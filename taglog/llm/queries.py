@@ -11,6 +11,8 @@ from taglog.llm.decontaminate import contamination_report
 from taglog.llm.html_text import extract_text
 from taglog.llm.jaccard import jaccard_classes
 from taglog.llm.langid import identify, train
+from taglog.llm.licenses import oracle as license_oracle
+from taglog.llm.licenses import scan_licenses
 from taglog.llm.media import encode_media, media_features
 from taglog.llm.packing import pack_documents
 from taglog.llm.quality import judge
@@ -18,6 +20,10 @@ from taglog.llm.quality import train as train_quality
 from taglog.llm.sharding import shard_report
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     evidence = train_quality(docs, table(spark, sf_dir, "labels"))
@@ -54,6 +60,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
     "op5_jaccard_join": op5_jaccard_join,
@@ -68,6 +75,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
+    "op2_license_scan": license_oracle(),
     "op10_decontaminate": f"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from documents),
 b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from benchmark),
