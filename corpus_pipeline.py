@@ -1,15 +1,66 @@
-"""Corpus pipeline (stages are added as their operators land)."""
+"""Corpus pipeline: five operators in sequence, each stage on all that its predecessor kept.
+
+Stages take (spark, docs, sf_dir); all but the last return the columns of ``documents``. Quality: rejected documents go.
+Near duplicates (word 5-grams, Jaccard 0.8 or more): of each class the row with the smallest id stays (of equal ids one).
+Decontamination: documents that hold windows of two or more benchmark items go. PII: found spans are replaced and n_chars
+follows. Packing: the rest is packed into sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from taglog.llm import pii, quality
+from taglog.llm.common import cut, table
+from taglog.llm.decontaminate import decontaminate
+from taglog.llm.jaccard import jaccard_classes
+from taglog.llm.packing import pack_documents
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    evidence = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, evidence).where("keep").select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    classes = jaccard_classes(docs, n=5, num=80, den=100)
+    first = classes.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
+    repeated = classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    alone = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_anti")
+    again = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_semi")
+    return alone.unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    bad = found.where(F.size("items") >= 2).select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("ngram_jaccard_join", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("best_fit_packing", packing_stage),
+]
 
-STAGES: list = []
+#: Trained models and packing by supersteps are not expressible in SQL; tests hold every stage against plain code.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

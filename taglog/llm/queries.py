@@ -15,11 +15,16 @@ from taglog.llm.licenses import oracle as license_oracle
 from taglog.llm.licenses import scan_licenses
 from taglog.llm.media import encode_media, media_features
 from taglog.llm.packing import pack_documents
+from taglog.llm.pii import find_pii
 from taglog.llm.quality import judge
 from taglog.llm.quality import train as train_quality
 from taglog.llm.sharding import shard_report
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
@@ -60,6 +65,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op2_license_scan": op2_license_scan,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_html_extraction": op4_html_extraction,
