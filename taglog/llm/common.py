@@ -33,8 +33,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: lineage ends here and lost executors cost no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    # the files of the shuffles below are of no use once the rows are written
+    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(flag, "false")
+    spark.conf.set(flag, "true")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(flag, before)
 
 
 def release(spark: SparkSession) -> None:

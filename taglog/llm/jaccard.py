@@ -41,10 +41,21 @@ from taglog.llm.components import connected_components
 CHUNK_TOKENS, CHUNK_DOCS, BLOCK = 1_000_000, 60_000, 1500
 #: Index entries that are skipped together, and computed answers that a task keeps to derive others from.
 SKIP, KEPT = 64, 16
-_LOW = np.uint64((1 << 48) - 1)
+#: Bytes that name a token inside its range; the range's number goes above them.
+_WIDTH = 5
 _SHARED = 0xFFFF
 
 
+def _packed(name: np.ndarray) -> bytes:
+    return name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
+
+
+def _unpacked(raw: bytes, r: int = 0) -> np.ndarray:
+    v = np.zeros((len(raw) // _WIDTH, 8), np.uint8)
+    v[:, :_WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, _WIDTH)
+    return v.reshape(-1).view("<u8") | np.uint64(r << (8 * _WIDTH))
+
+
 def _sets(batch_text: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(row, sorted distinct tokens) of each text."""
     off, data = buffers(batch_text)
@@ -96,21 +107,26 @@ def _chunks(n: int, ranges: int):
         token, doc = token[order], doc[order]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         count = np.diff(np.r_[first, len(token)])
-        r = ((token >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
-        name = (token & _LOW) | ((r & np.uint64(0xFFFF)) << np.uint64(48))
-        # within a range the names are not in order of the token; ranges themselves are contiguous
+        high, low, half = token >> np.uint64(32), token & np.uint64(0xFFFFFFFF), np.uint64(32)
+        rest = low * np.uint64(ranges)
+        product = high * np.uint64(ranges) + (rest >> half)  # token * ranges / 2**32
+        r = product >> half
+        name = (product & np.uint64(0xFFFFFFFF)) << np.uint64(8) | (rest & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
         own = doc[first].copy()
         own[count > 1] = _SHARED
+        several = np.repeat(count > 1, count)
         edge = np.searchsorted(r[first], np.arange(ranges + 1, dtype=np.uint64))
-        low = (token[first] & _LOW).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        some = np.searchsorted(r[several], np.arange(ranges + 1, dtype=np.uint64))
+        ours, again, mine = name[first], name[several], doc[several]
         rows: list[tuple] = []
         for k in range(ranges):
             a, z = edge[k], edge[k + 1]
             if a < z:
                 c = count[a:z]
-                rows.append((k, p, _TOKENS, low[a:z].tobytes(), own[a:z].astype("<u2").tobytes(), c[c > 1].astype("<u4").tobytes()))
-        several = np.repeat(count > 1, count)
-        rows.append((p % ranges, p, _LOCAL, name[several].tobytes(), doc[several].astype("<u2").tobytes(), b""))
+                rows.append((k, p, _TOKENS, _packed(ours[a:z]), own[a:z].astype("<u2").tobytes(), c[c > 1].astype("<u4").tobytes()))
+            a, z = some[k], some[k + 1]
+            if a < z:
+                rows.append((k, p, _LOCAL, _packed(again[a:z]), mine[a:z].astype("<u2").tobytes(), b""))
         rows.append((p % ranges, p, _SETS, b"".join(sigs), size.astype("<u4").tobytes(), b""))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _WIRE.types, strict=True)], schema=_WIRE)
 
@@ -140,14 +156,12 @@ def _count_range(key: tuple, rows: pa.Table) -> pa.Table:
     sent = rows.filter(pa.array(kind == _TOKENS))
     if not len(sent):
         return keep
-    r, chunk = np.uint64(key[0].as_py() & 0xFFFF), sent.column("p").to_numpy()
+    r, chunk = key[0].as_py(), sent.column("p").to_numpy()
     low, own, count = [], [], []
     for a, b, c in zip(*(sent.column(x).to_pylist() for x in "abc"), strict=True):
-        v = np.zeros((len(a) // 6, 8), np.uint8)
-        v[:, :6] = np.frombuffer(a, np.uint8).reshape(-1, 6)
-        o, k = np.frombuffer(b, "<u2"), np.ones(len(v), np.int64)
+        o, k = np.frombuffer(b, "<u2"), np.ones(len(b) // 2, np.int64)
         k[o == _SHARED] = np.frombuffer(c, "<u4")
-        low.append(v.reshape(-1).view("<u8"))
+        low.append(_unpacked(a))
         own.append(o)
         count.append(k)
     length = [len(x) for x in low]
@@ -160,9 +174,9 @@ def _count_range(key: tuple, rows: pa.Table) -> pa.Table:
     keep_it = total > 1
     low, own, total, at = low[keep_it], own[keep_it], total[keep_it], at[keep_it]
     order = np.argsort(at, kind="stable")
-    low, own, total = low[order] | (r << np.uint64(48)), own[order], total[order]
+    low, own, total = low[order], own[order], total[order]
     edge = np.searchsorted(at[order], np.arange(len(length) + 1))
-    out = [(int(r), int(chunk[i]), _FOUND, low[a:z].tobytes(), own[a:z].tobytes(), np.minimum(total[a:z], 2**32 - 1).astype("<u4").tobytes()) for i, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < z]
+    out = [(r, int(chunk[i]), _FOUND, _packed(low[a:z]), own[a:z].tobytes(), np.minimum(total[a:z], 0xFFFF).astype("<u2").tobytes()) for i, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < z]
     if not out:
         return keep
     return pa.concat_tables([keep, pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _WIRE.types, strict=True)], schema=_WIRE)])
@@ -173,14 +187,16 @@ def _gather_chunk(num: int, den: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         token, doc, freq, flagged, flagged_freq = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-        local, sigs, size = None, b"", np.zeros(0, np.int64)
-        for kind, a, b, c in zip(*(rows.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
+        sigs, size = b"", np.zeros(0, np.int64)
+        local, local_doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
+        for r, kind, a, b, c in zip(*(rows.column(x).to_pylist() for x in ("r", "kind", "a", "b", "c")), strict=True):
             if kind == _SETS:
                 sigs, size = a, np.frombuffer(b, "<u4").astype(np.int64)
             elif kind == _LOCAL:
-                local = np.frombuffer(a, np.uint64), np.frombuffer(b, "<u2")
-            else:
-                t, o, f = np.frombuffer(a, np.uint64), np.frombuffer(b, "<u2"), np.frombuffer(c, "<u4").astype(np.int64)
+                local.append(_unpacked(a, r))
+                local_doc.append(np.frombuffer(b, "<u2"))
+            else:  # frequencies above 65535 only order tokens, and tie
+                t, o, f = _unpacked(a, r), np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2").astype(np.int64)
                 many = o == _SHARED
                 flagged.append(t[many])
                 flagged_freq.append(f[many])
@@ -190,9 +206,9 @@ def _gather_chunk(num: int, den: int):
         flag, flag_freq = np.concatenate(flagged), np.concatenate(flagged_freq)
         order = np.argsort(flag)
         flag, flag_freq = flag[order], flag_freq[order]
-        token.append(local[0])
-        doc.append(local[1])
-        freq.append(flag_freq[np.searchsorted(flag, local[0])] if len(local[0]) else np.zeros(0, np.int64))
+        token.append(np.concatenate(local))
+        doc.append(np.concatenate(local_doc))
+        freq.append(flag_freq[np.searchsorted(flag, token[-1])] if len(token[-1]) else np.zeros(0, np.int64))
         token, doc, freq = np.concatenate(token), np.concatenate(doc).astype(np.int64), np.concatenate(freq)
         order = np.lexsort((token, freq, doc))
         token, doc, freq = token[order], doc[order], freq[order]
