@@ -140,10 +140,12 @@ def match(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
         rank, left = 0, counts[length]
         while left:
             k = bisect.bisect_left(gaps, length)
-            if k == len(gaps):  # nothing fits: open what the rest of this length fills
-                n = -(-left // (capacity // length))
-                first, sequences = sequences, sequences + n
-                put(capacity, first, n)
+            if k == len(gaps):  # nothing fits: sequences filled with this length, then one for the rest of it
+                each = capacity // length
+                n, deep = (left // each, each) if left >= each else (1, left)
+                out += [(length, rank + i * n, n, sequences, i * length) for i in range(deep)]
+                put(capacity - deep * length, sequences, n)
+                sequences, rank, left = sequences + n, rank + n * deep, left - n * deep
                 continue
             gap = gaps[k]
             first, n = open_at[gap].pop()
