@@ -6,6 +6,7 @@ import functools
 import gc
 import os
 import tempfile
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,20 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     """Checkpoint in the shared folder: lineage ends here and lost executors cost no recomputation."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    # the files of the shuffles below are of no use once the rows are written
-    flag = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(flag, "false")
-    spark.conf.set(flag, "true")
-    try:
-        return df.checkpoint(eager=True)
-    finally:
-        spark.conf.set(flag, before)
+    return df.checkpoint(eager=True)
 
 
 def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files that no plan refers to any more (after ``cut``)."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let the context cleaner delete shuffle files that no plan refers to any more (after ``cut``).
+
+    The cleaner goes by the driver's garbage collector, which frees a plan and then, a round later, what it held.
+    """
+    for _ in range(3):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
