@@ -82,6 +82,19 @@ _ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 ORACLES: dict[str, str] = {
     "op2_license_scan": license_oracle(),
+    "op5_jaccard_join": f"""
+with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, g from (
+    select doc_id, array_to_string(w, ' ') as g from w where len(w) between 1 and 3 union all
+    select doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] from (select doc_id, w, unnest(range(1, len(w) - 2)) as i from w where len(w) > 3))),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * o >= 85 * (x.n + y.n - o)),
+e as (select a, b from l union all select b, a from l),
+r(x, y) as (select doc_id, doc_id from n union select r.x, e.b from r join e on r.y = e.a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(m.c, d.doc_id) as component_id
+from documents d left join n on d.doc_id = n.doc_id left join (select x, min(y) as c from r group by x) m on m.x = d.doc_id
+""",
     "op10_decontaminate": f"""
 with d as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from documents),
 b as (select cast(item_id as varchar) as item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '{_ALNUM}') as w from benchmark),
