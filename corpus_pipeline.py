@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taglog.llm import pii, quality
-from taglog.llm.common import cut, table
+from taglog.llm.common import cut, release, table
 from taglog.llm.decontaminate import decontaminate
 from taglog.llm.jaccard import jaccard_classes
 from taglog.llm.packing import pack_documents
@@ -24,10 +24,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = jaccard_classes(docs, n=5, num=80, den=100)
+    classes = cut(jaccard_classes(docs, n=5, num=80, den=100))
+    release(spark)
     first = classes.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
     repeated = classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
+    if repeated.isEmpty():  # ids are unique: the texts are joined once
+        return kept.select(*docs.columns)
     alone = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_anti")
     again = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_semi")
     return alone.unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
