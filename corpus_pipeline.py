@@ -2,7 +2,7 @@
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of ``documents``. Quality: rejected documents go.
 Near duplicates (word 5-grams, Jaccard 0.8 or more): of each class the row with the smallest id stays (of equal ids one).
-Decontamination: documents that hold windows of two or more benchmark items go. PII: found spans are replaced and n_chars
+Decontamination: documents that hold a window of any benchmark item go (a leak is often a single item, whole). PII: found spans are replaced and n_chars
 follows. Packing: the rest is packed into sequences.
 """
 
@@ -38,7 +38,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.size("items") >= 2).select(F.col("doc_id").alias("_bad")).distinct()
+    bad = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_bad")).distinct()
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
 
 
