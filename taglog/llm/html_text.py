@@ -50,6 +50,7 @@ _BAD = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|breadcrumbs?|byline|comments?|commentlist|community|consent|cookies?|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|outbrain|pagination|pager|popup|promo|related|replies|respond|rss|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|taboola|tags?|toolbar|widget|complementary|contentinfo|alert)(?:$|[\s_-])",
     re.I,
 )
+_LAYOUT = re.compile(r"(?:^|(?<=\s))\S*(?:has|with|without|no|show|hide)[_-]\S*", re.I)  # says what stands beside, not what it is
 _GOOD = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|hentry|main|page|post|story|text)(?:$|[\s_-])", re.I)
 
 
@@ -59,7 +60,7 @@ class Node:
     def __init__(self, tag: str, hint: str, parent: Node | None, order: int) -> None:
         self.tag, self.hint, self.parent, self.order = tag, hint, parent, order
         self.score, self.chars, self.linked = 0.0, 0, 0
-        bad = tag in _LEFT_OUT or (tag not in ("html", "body", "article", "main") and bool(hint) and _BAD.search(hint) is not None)
+        bad = tag in _LEFT_OUT or (tag not in ("html", "body", "article", "main") and bool(hint) and _BAD.search(_LAYOUT.sub(" ", hint)) is not None)
         self.left_out = bad or (parent is not None and parent.left_out)
 
 

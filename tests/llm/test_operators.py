@@ -341,6 +341,7 @@ def test_html(spark):
     want = ["The & title", "One two, three — four", f"Five six, seven. {body.strip()}", "item one", "item two"]
     assert html_text.main_text(page % body) == "\n\n".join(want)
     assert [html_text.main_text(x) for x in (None, "", "<p>", "plain  text", "<p>cut of")] == ["", "", "", "plain text", "cut of"]
+    assert html_text.main_text((page % body).replace('"story"', '"layout with-sidebar no-comments"')) == "\n\n".join(want)
     rows = [(1, "u", None), (2, None, page % body), (2, None, page % body), (None, "u", "<div>" * 3000 + "deep")]
     got = html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert [r.n_chars for r in got] == [0, len("\n\n".join(want)), len("\n\n".join(want)), 4]
