@@ -31,14 +31,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taglog.llm.common import SPACE_WORDS, Words, buffers, cut, ids_of, mix64, release, shingles, steps
 from taglog.llm.components import connected_components
 
-#: Tokens and documents of a chunk at most (one longer document is a chunk of its own); sets of a block at most.
-CHUNK_TOKENS, CHUNK_DOCS, BLOCK = 1_000_000, 60_000, 1500
+#: Tokens and documents of a chunk at most (one longer document is a chunk of its own); sets and tokens of a block, about.
+CHUNK_TOKENS, CHUNK_DOCS, BLOCK, BLOCK_TOKENS = 1_000_000, 60_000, 1500, 400_000
 #: Index entries that are skipped together, and computed answers that a task keeps to derive others from.
 SKIP, KEPT = 64, 16
 #: Bytes that name a token inside its range; the range's number goes above them.
@@ -236,7 +236,7 @@ def _prefixes(num: int, den: int):
                 token.append(t[: _prefix(size, len(t), num, den)])
                 row.append(np.full(len(token[-1]), i))
             row = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), b.column(0).take(row), b.column(3).take(row)], names=["token", "sig", "central"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(token)), b.column(0).take(row), b.column(1).take(row), b.column(3).take(row)], names=["token", "sig", "size", "central"])
 
     return run
 
@@ -377,6 +377,11 @@ def _group_links(num: int, den: int):
     return run
 
 
+def _blocks(chosen: Column) -> Column:
+    """Blocks for the chosen rows of a group: by sets and by tokens, so that neither many nor very long texts fill a task."""
+    return F.ceil(F.greatest(F.sum(chosen.cast("long")) / BLOCK, F.sum(F.when(chosen, F.col("size")).otherwise(0)) / BLOCK_TOKENS)).cast("int")
+
+
 def jaccard_links(docs: DataFrame, n: int, num: int, den: int, text_col: str = "text", tokens: int | None = None) -> DataFrame:
     """(a, b): links between different sets, by signature, enough to connect every class."""
     spark = docs.sparkSession
@@ -389,21 +394,21 @@ def jaccard_links(docs: DataFrame, n: int, num: int, den: int, text_col: str = "
     once = alive.groupBy("sig").agg(F.min("p").alias("p"))  # equal sets of different chunks
     sets = cut(alive.join(once, ["sig", "p"], "left_semi").drop("p"))
 
-    entries = sets.select("sig", "size", "tokens", "central").mapInArrow(_prefixes(num, den), "token long, sig binary, central double")
+    entries = sets.select("sig", "size", "tokens", "central").mapInArrow(_prefixes(num, den), "token long, sig binary, size long, central double")
     leaders = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("central", "sig")).alias("lead")).where("n > 1")
-    member = cut(entries.join(leaders, "token").select("sig", F.col("lead.sig").alias("lead"), F.col("lead.central").alias("lead_central")).distinct())
+    member = cut(entries.join(leaders, "token").select("sig", "size", F.col("lead.sig").alias("lead"), F.col("lead.central").alias("lead_central")).distinct())
 
-    best = member.where("sig <> lead").groupBy("sig").agg(F.max(F.struct("lead_central", "lead")).alias("b")).select("sig", F.col("b.lead").alias("lead"))
-    width = best.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    best = member.where("sig <> lead").groupBy("sig", "size").agg(F.max(F.struct("lead_central", "lead")).alias("b")).select("sig", "size", F.col("b.lead").alias("lead"))
+    width = best.groupBy("lead").agg(_blocks(F.lit(True)).alias("blocks"))
     starred = best.join(width, "lead").select("lead", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig")
     centre = width.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("sig"))
     star_rows = starred.unionByName(centre).join(sets.select("sig", "size", "tokens"), "sig")
     stars = cut(star_rows.groupBy("lead", "block").applyInArrow(_star_links(num, den), "a binary, b binary"))
 
-    rooted = member.select("sig", "lead").join(stars.select(F.col("a").alias("sig"), F.col("b").alias("star")), "sig", "left")
-    rooted = rooted.select("sig", "lead", F.coalesce("star", "sig").alias("root")).withColumn("free", F.col("root") != F.col("lead"))
+    rooted = member.select("sig", "size", "lead").join(stars.select(F.col("a").alias("sig"), F.col("b").alias("star")), "sig", "left")
+    rooted = rooted.select("sig", "size", "lead", F.coalesce("star", "sig").alias("root")).withColumn("free", F.col("root") != F.col("lead"))
     wide = rooted.groupBy("lead").agg(
-        F.ceil(F.sum(F.col("free").cast("long")) / BLOCK).cast("int").alias("u"), F.ceil(F.sum((~F.col("free")).cast("long")) / BLOCK).cast("int").alias("v")
+        _blocks(F.col("free")).alias("u"), _blocks(~F.col("free")).alias("v")
     ).where("u > 0")
     placed = rooted.join(wide, "lead").withColumn("at", F.pmod(F.xxhash64("sig"), F.when(F.col("free"), F.col("u")).otherwise(F.col("v"))).cast("int"))
     # block pairs: free against free (i <= j), and free (i) against what is linked to the leader (j)
