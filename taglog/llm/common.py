@@ -42,12 +42,20 @@ def cut(df: DataFrame) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let the context cleaner delete shuffle files that no plan refers to any more (after ``cut``).
 
-    The cleaner goes by the driver's garbage collector, which frees a plan and then, a round later, what it held.
+    The cleaner goes by the driver's garbage collector, and listeners hold a finished plan until its last event is
+    through; so collect, for a few seconds at most, until the known shuffles have gone down and stay.
     """
-    for _ in range(3):
+    sc = spark.sparkContext
+    known = sc._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
+    first = last = known.size()
+    for _ in range(10):
         gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.2)
+        sc._jvm.System.gc()
+        time.sleep(0.4)
+        now = known.size()
+        if now == 0 or now == last < first:
+            break
+        last = now
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
