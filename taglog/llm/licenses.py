@@ -5,13 +5,20 @@ every run of characters other than a-z and 0-9 is one space) and compared to the
 bigrams lies within the bounds that the threshold sets: ``dice >= t`` needs ``min / max >= t / (2 - t)``. Only DataFrame
 functions are used, every row on its own: nothing is shuffled, joined or broadcast beyond the fixed template table.
 
+A notice with neighbours in its unit is found by windows over the words of the whole text. A window is a run of words
+with the sizes that the threshold allows a template; the best one starts and ends at bigrams of its template, so only
+such windows are compared, and only in texts that hold enough of a template's bigrams. Each start keeps its best window;
+of windows that overlap, the one with the highest coefficient stays (a notice is not also its near namesake). A licence
+that windows find and no unit gives is one more match.
+
 Defined results: null or empty text matches nothing (n_matches 0, best_dice 0.0, licenses empty); repeated rows give
-repeated rows; equal units of one text count once; a unit of one word has no bigrams and matches nothing; other columns
+repeated rows; equal units of one text count once, and so does a licence that only windows find; a unit of one word has no bigrams and matches nothing; other columns
 are not read.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -42,6 +49,20 @@ TEMPLATES: dict[str, list[str]] = {
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Licences and headers beyond those of the SQL, which knows units and ``TEMPLATES`` only.
+_FREE = "This {0} is free software{3} you can redistribute it and/or modify it under the terms of the GNU {1}General Public License as published by the Free Software Foundation{4} either version {2} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+ADDED: dict[str, list[str]] = {
+    "AGPL-3.0": [_FREE.format("program", "Affero ", "3", ":", ","), "This work is licensed under the GNU Affero General Public License, version 3."],
+    "BSD-2-Clause": ["Released under the BSD 2-Clause License.", _BSD],
+    "BSD-3-Clause": ["Released under the BSD 3-Clause License.", _BSD + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "CC0-1.0": ["Licensed under CC0 1.0.", "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide."],
+    "GPL-2.0": [_FREE.format("program", "", "2", ";", ";")],
+    "LGPL-2.1": [_FREE.format("library", "Lesser ", "2.1", ";", ";"), "This work is licensed under the GNU Lesser General Public License, version 2.1."],
+    "LGPL-3.0": [_FREE.format("library", "Lesser ", "3", ":", ","), "This work is licensed under the GNU Lesser General Public License, version 3."],
+}
+ALL = {name: TEMPLATES.get(name, []) + ADDED.get(name, []) for name in sorted(TEMPLATES | ADDED)}
+
 
 def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, list[str]]]:
     """(licence, distinct word bigrams) of every template."""
@@ -53,12 +74,60 @@ def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, list[st
     return out
 
 
+def _words(text: Column) -> Column:
+    return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
+
+
+def _sequence(words: Column) -> Column:
+    return F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+
+
 def _bigrams(words: Column) -> Column:
-    n = F.size(words)
-    return F.array_distinct(F.transform(F.slice(words, 1, n - 1), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1))))
+    return F.array_distinct(_sequence(words))
+
+
+def _bound(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _windows(text: Column, table: list[tuple[str, list[str]]], threshold: float) -> Column:
+    """(dice, name) of the best windows of a text that do not overlap a better one."""
+    ratio = threshold / (2 - threshold)
+    # a window with dice >= threshold shares at least ratio * n of a template's n bigrams
+    known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, g)).alias("grams"), F.lit(len(g)).alias("n"), F.lit(math.ceil(len(g) * ratio - 1e-9)).alias("need"), F.lit(math.floor(len(g) / ratio + 1e-9)).alias("most")) for name, g in table))
+    every = F.array(*map(F.lit, dict.fromkeys(x for _, g in table for x in g)))
+    fewest = min(math.ceil(len(g) * ratio - 1e-9) for _, g in table)
+    none = F.array().cast("array<struct<dice:double,name:string,a:int,z:int>>")
+
+    def best_at(grams: Column, t: Column, at: Column, k: Column) -> Column:
+        a = F.get(at, k)
+        ends = F.filter(F.slice(at, k + t["need"], t["most"] - t["need"] + 1), lambda z: z - a < t["most"])
+
+        def scored(z: Column) -> Column:
+            return _bound(F.array_distinct(F.slice(grams, a + 1, z - a + 1)), lambda w: F.struct((F.lit(2.0) * F.size(F.array_intersect(w, t["grams"])) / (F.size(w) + t["n"])).alias("dice"), t["name"].alias("name"), a.alias("a"), z.alias("z")))
+
+        return F.array_max(F.filter(F.transform(ends, scored), lambda s: s["dice"] >= threshold))
+
+    def of_template(grams: Column, hits: Column, t: Column) -> Column:
+        at = F.transform(F.filter(hits, lambda h: F.array_contains(t["grams"], h["gram"])), lambda h: h["at"])
+        starts = lambda p: F.transform(F.sequence(F.lit(0), F.size(p) - t["need"]), lambda k: best_at(grams, t, p, k))
+        return _bound(at, lambda p: F.when(F.size(p) >= t["need"], F.filter(starts(p), lambda s: s.isNotNull())).otherwise(none))
+
+    def of_text(grams: Column, held: Column) -> Column:
+        hits = F.filter(F.transform(grams, lambda g, i: F.struct(i.alias("at"), g.alias("gram"))), lambda h: F.array_contains(held, h["gram"]))
+        near = F.filter(known, lambda t: F.size(F.array_intersect(held, t["grams"])) >= t["need"])
+        found = _bound(hits, lambda h: F.flatten(F.transform(near, lambda t: of_template(grams, h, t))))
+        return F.aggregate(
+            F.reverse(F.array_sort(found)),
+            none,
+            lambda kept, s: F.when(F.exists(kept, lambda o: (o["a"] <= s["z"]) & (s["a"] <= o["z"])), kept).otherwise(F.concat(kept, F.array(s))),
+        )
+
+    return _bound(_words(text), lambda w: _bound(_sequence(w), lambda g: _bound(F.array_intersect(g, every), lambda held: F.when(F.size(held) >= fewest, of_text(g, held)).otherwise(none))))
 
 
-def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = ALL, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_matches, best_dice, licenses): matching units, the best coefficient and the matched licences, sorted."""
     table = template_bigrams(templates)
     ratio = threshold / (2 - threshold)
@@ -66,7 +135,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in table))
     text = F.coalesce(F.col(text_col), F.lit(""))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n"), F.array(text)))
-    words = F.transform(units, lambda u: F.split(F.trim(F.regexp_replace(F.lower(u), "[^a-z0-9]+", " ")), " "))
+    words = F.transform(units, _words)
     # a unit of n words has at most n - 1 distinct bigrams
     words = F.filter(words, lambda w: (F.size(w) > 1) & (F.size(w) - 1 >= low))
     grams = F.filter(F.transform(words, _bigrams), lambda g: F.size(g).between(low, high))
@@ -77,7 +146,11 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
         scored = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice"), t["name"].alias("name")))
         return F.filter(scored, lambda s: s["dice"] >= threshold)
 
-    found = docs.select(id_col, F.filter(F.transform(grams, lambda g: F.array_max(matches(g))), lambda m: m.isNotNull()).alias("m"))
+    found = docs.select(id_col, F.filter(F.transform(grams, lambda g: F.array_max(matches(g))), lambda m: m.isNotNull()).alias("u"), _windows(text, table, threshold).alias("w"))
+    # windows come best first, so a licence's first one is its best
+    names = F.array_distinct(F.transform("w", lambda s: s["name"]))
+    more = F.transform(F.array_except(names, F.transform("u", lambda s: s["name"])), lambda n: F.struct(F.array_max(F.transform(F.filter("w", lambda s: s["name"] == n), lambda s: s["dice"])).alias("dice"), n.alias("name")))
+    found = found.select(id_col, F.concat("u", more).alias("m"))
     return found.select(
         id_col,
         F.size("m").cast("long").alias("n_matches"),

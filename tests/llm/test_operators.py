@@ -288,6 +288,43 @@ def test_licenses(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def slow_best_window(text, name):
+    """The best coefficient of any run of words of the text with a template of the licence."""
+    w = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
+    pairs, best = [f"{a} {b}" for a, b in zip(w, w[1:])], 0.0
+    for n, t in licenses.template_bigrams(licenses.ALL):
+        for i in range(len(pairs)) if n == name else ():
+            for j in range(i + 1, min(len(pairs), i + int(1.5 * len(t))) + 1):
+                best = max(best, 2 * len(set(pairs[i:j]) & set(t)) / (len(set(pairs[i:j])) + len(t)))
+    return round(best, 6)
+
+
+def test_license_windows(spark):
+    """Notices with neighbours in their unit, each below the threshold as a unit."""
+    code = "".join(f"int f{i}(int x{i}) {{ return {i} * x{i} + {i * i}; }}\n" for i in range(40))
+    comment = lambda t: "/*\n * Copyright (c) 2020 A. Author\n *\n * " + re.sub("((?:\\S+ ){8})", "\\1\n * ", t) + "\n */\n" + code
+    texts = {
+        comment(licenses.TEMPLATES["MIT"][1]): "MIT",
+        comment(licenses.TEMPLATES["GPL-3.0"][1]): "GPL-3.0",
+        comment(licenses.ADDED["GPL-2.0"][0]): "GPL-2.0",
+        comment(licenses.ADDED["LGPL-2.1"][0]): "LGPL-2.1",
+        comment(licenses.ADDED["AGPL-3.0"][0]): "AGPL-3.0",
+        comment(licenses.ADDED["BSD-2-Clause"][1]): "BSD-2-Clause",
+        comment(licenses.ADDED["BSD-3-Clause"][1]): "BSD-3-Clause",
+        comment(licenses.ADDED["CC0-1.0"][1]): "CC0-1.0",
+        "Copyright 2020 Acme Corporation. All rights reserved. Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "We wrote this tool in 2019. Released under the MIT License. Please send patches to the list.": "MIT",
+        "As said before: " + licenses.TEMPLATES["CC-BY-NC-4.0"][1] + " And so on, with a few more words that follow.": "CC-BY-NC-4.0",
+        code + "under the terms of the work, to the public, free of charge, to any person": "",
+    }
+    rows = licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [(r.licenses, r.n_matches) for r in rows] == [(x, int(x != "")) for x in texts.values()]
+    for r, (text, name) in zip(rows, texts.items(), strict=True):
+        assert not name or r.best_dice == slow_best_window(text, name)
+    two = "see here and there released under the mit license or else licensed under cc by 4 0 as you like it best"
+    assert licenses.scan_licenses(spark.createDataFrame([(1, two)], "doc_id int, text string")).first()[1:] == (2, 1.0, "CC-BY-4.0,MIT")
+
+
 def test_quality(spark, odd, none):
     docs, labels = table(spark, DATA, "documents"), table(spark, DATA, "labels")
     evidence = quality.train(docs, labels)
