@@ -2,8 +2,9 @@
 
 The page is read into a light tree (tags without an end tag, implied ends, raw script and style content, comments).
 Every paragraph gives its ancestors points for its length and its commas, halved at each level up; a container's points
-are discounted by its link density and by class or id names of page furniture. The best container is kept together with
-those of its siblings that score well or read like its text, and the kept blocks are written in page order.
+are discounted by its link density and by class or id names of page furniture. The best container, or the article (main,
+if there is none) around it, is kept together with those of its siblings that hold few links, score well or read like its
+text, and the kept blocks are written in page order.
 
 Blocks are headings, paragraphs, list items, table cells, quotes, preformatted text and loose text between them. Inside
 the kept part, navigation, headers, footers, asides, forms, scripts, styles, comments and named furniture are left out.
@@ -60,7 +61,7 @@ class Node:
     def __init__(self, tag: str, hint: str, parent: Node | None, order: int) -> None:
         self.tag, self.hint, self.parent, self.order = tag, hint, parent, order
         self.score, self.chars, self.linked = 0.0, 0, 0
-        bad = tag in _LEFT_OUT or (tag not in ("html", "body", "article", "main") and bool(hint) and _BAD.search(_LAYOUT.sub(" ", hint)) is not None)
+        bad = tag in _LEFT_OUT or (tag not in ("html", "body", "article", "main") and _named_bad(hint))
         self.left_out = bad or (parent is not None and parent.left_out)
 
 
@@ -144,6 +145,10 @@ def blocks_of(html: str) -> list[Block]:
     return out
 
 
+def _named_bad(hint: str) -> bool:
+    return bool(hint) and _BAD.search(_LAYOUT.sub(" ", hint)) is not None
+
+
 def _upward(node: Node) -> Iterator[Node]:
     while node is not None:
         yield node
@@ -180,7 +185,10 @@ def main_text(html: str | None) -> str:
     up = best.parent  # a container that holds clearly more of the text than its best child is the article
     while up is not None and up.tag not in ("body", "html") and value(up) >= 0.75 * value(best):
         best, up = up, up.parent
-    bar = max(10.0, 0.2 * value(best))
+    around = [x for x in _upward(best) if x.tag in ("article", "main")]
+    if around:
+        best = ([x for x in around if x.tag == "article"] or around)[-1]
+    bar = 0.2 * value(best)
     kept: list[str] = []
     for b in blocks:
         chain = list(_upward(b.node))
@@ -198,7 +206,8 @@ def main_text(html: str | None) -> str:
         elif side.tag in ("p", "h1", "h2", "h3"):
             good = density < 0.25 and (len(b.text) > 80 or b.heading or b.text[-1] in ".!?")
         else:
-            good = value(side) + (0.2 * value(best) if same else 0) >= bar and density < 0.5
+            few = density < 0.25 and not _named_bad(side.hint)
+            good = few or (value(side) + (bar if same else 0) >= max(10.0, bar) and density < 0.5)
         if good:
             kept.append(b.text)
     return "\n\n".join(kept)

@@ -288,6 +288,19 @@ def test_licenses(spark, odd, none):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_html_beside_the_best_container(spark):
+    """Everything of the article stays, and low-link parts beside the best container, however short."""
+    paragraphs = [f"{k} " + "word, " * 4 + "text " * 56 + "end." for k in range(5)]
+    story = "<div class=content>" + "".join(f"<p>{p}</p>" for p in paragraphs) + "</div>"
+    beside = "<ul><li>item one<li>item two</ul><table><tr><td>a cell</td></tr></table><pre>x = 1</pre><blockquote>a quote</blockquote><h4>A heading</h4>"
+    want = [*paragraphs, "item one", "item two", "a cell", "x = 1", "a quote", "A heading"]
+    furniture = "<nav><a href=/>home</a></nav><div class=sidebar>aside text</div><div><a href=/a>a link</a> <a href=/b>another link</a></div><article class=comment>a comment</article>"
+    for page in ("<article>{}{}</article>", "<main>{}{}</main>", "<main><article><section>{}</section>{}</article></main>", "{}{}"):
+        assert html_text.main_text("<html><body>" + page.format(story, beside) + furniture + "</body></html>") == "\n\n".join(want), page
+    two = "<section><p>First part, of some words, here.</p></section><section><p>Second part.</p></section>"
+    assert html_text.main_text(f"<body>{two}{furniture}</body>") == "First part, of some words, here.\n\nSecond part."
+
+
 def slow_best_window(text, name):
     """The best coefficient of any run of words of the text with a template of the licence."""
     w = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
