@@ -23,23 +23,30 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.judge(docs, evidence).where("keep").select(*docs.columns)
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``docs`` with _at, what a row is decided by: its id (null last) and its text, as an id may name several texts."""
+    return docs.withColumn("_at", F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.unhex(F.sha2("text", 256)).alias("text")))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = cut(jaccard_classes(docs, n=5, num=80, den=100))
+    placed = _placed(docs)
+    classes = cut(jaccard_classes(placed, n=5, num=80, den=100, id_col="_at"))
     release(spark)
-    first = classes.where("component_id is null or doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["_kept"]), "left_semi")
-    repeated = classes.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias("_again"))
-    if repeated.isEmpty():  # ids are unique: the texts are joined once
+    first = classes.where(F.col("_at").eqNullSafe(F.col("component_id"))).groupBy(F.col("_at").alias("_kept")).count()
+    kept = placed.join(first, placed["_at"] == first["_kept"], "left_semi")
+    repeated = first.where("count > 1").select(F.col("_kept").alias("_again"))
+    if repeated.isEmpty():  # no row comes twice: the texts are joined once
         return kept.select(*docs.columns)
-    alone = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_anti")
-    again = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_semi")
-    return alone.unionByName(again.dropDuplicates(["doc_id"])).select(*docs.columns)
+    alone = kept.join(repeated, kept["_at"] == repeated["_again"], "left_anti")
+    again = kept.join(repeated, kept["_at"] == repeated["_again"], "left_semi")
+    return alone.unionByName(again.dropDuplicates(["_at"])).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    bad = found.where(F.size("items") > 0).select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_bad"]), "left_anti").select(*docs.columns)
+    placed = _placed(docs)
+    found = decontaminate(placed, table(spark, sf_dir, "benchmark"), id_col="_at")
+    bad = found.where(F.size("items") > 0).select(F.col("_at").alias("_bad")).distinct()
+    return placed.join(bad, placed["_at"] == bad["_bad"], "left_anti").select(*docs.columns)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

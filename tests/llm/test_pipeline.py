@@ -33,6 +33,21 @@ def test_odd_rows(spark):
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 2, 3]
 
 
+def test_one_id_with_several_texts(spark):
+    """Rows are decided by their own class and their own hits, whatever else their id names."""
+    item = table(spark, DATA, "benchmark").select("text").first()[0]
+    a, b, c = ("alpha beta gamma delta epsilon", "one two three four five six", "red green blue black white grey")
+    rows = [(1, a), (1, b), (2, a), (2, c), (2, c), (3, b), (4, c), (None, a), (None, "north south east west up down"), (None, "left right fore aft in out"), (5, None), (5, ""), (5, "")]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_duplicate_stage(spark, docs, DATA).collect()]
+    want = [(1, a), (1, b), (2, c), (None, "north south east west up down"), (None, "left right fore aft in out"), (5, None), (5, "")]
+    assert sorted(map(str, kept)) == sorted(map(str, want))
+    rows = [(1, a), (1, "see: " + item), (None, b), (None, item), (2, c)]
+    docs = spark.createDataFrame([(i, t, None, None, None, "x") for i, t in rows], SCHEMA)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.decontamination_stage(spark, docs, DATA).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (None, b), (2, c)]))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_sql(spark, name):
     import duckdb
