@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import functools
-import gc
 import os
 import tempfile
-import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step works on; a single longer text is a step of its own.
 STEP_BYTES = 2 << 20
+#: Bytes that the word scanner hashes at once, whatever the length of a text or word.
+PIECE = 1 << 20
+#: Keys that ``join_counted`` broadcasts at most.
+HOT_KEYS = 10_000
 
 _MIX_A, _MIX_B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -26,36 +29,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's ``spark.checkpoint.dir``; set a local folder only where none is configured (tests)."""
+    """Use the cluster's ``spark.checkpoint.dir``; only a local session without the setting gets a folder of its own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or os.path.join(tempfile.gettempdir(), "taglog-checkpoints"))
+        shared = sc.getConf().get("spark.checkpoint.dir")
+        if not shared and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(shared or os.path.join(tempfile.gettempdir(), "taglog-checkpoints"))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path that nothing uses yet, under the shared checkpoint folder."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: lineage ends here and lost executors cost no recomputation."""
+    """Checkpoint in the shared folder: lineage ends here and lost executors cost no recomputation.
+
+    The shuffle files of the plan are deleted as soon as the checkpoint is written: nothing else reads them.
+    """
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
-    return df.checkpoint(eager=True)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        fresh = df.select("*")  # a plan of its own, made under the setting
+        return fresh.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_CLEANUP, before)
 
 
-def release(spark: SparkSession) -> None:
-    """Let the context cleaner delete shuffle files that no plan refers to any more (after ``cut``).
+def join_counted(rows: DataFrame, of: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """``rows`` joined to ``of`` (one row a key, with how many of the ``total`` rows have it), whatever the skew.
 
-    The cleaner goes by the driver's garbage collector, and listeners hold a finished plan until its last event is
-    through; so collect, for a few seconds at most, until the known shuffles have gone down and stay.
+    Keys with more than a ten-thousandth of the rows are joined by broadcast; at most ten thousand keys can have that
+    many, which bounds it. The rest is joined by key, and no key of it has more rows than that.
     """
-    sc = spark.sparkContext
-    known = sc._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker().shuffleStatuses()
-    first = last = known.size()
-    for _ in range(10):
-        gc.collect()
-        sc._jvm.System.gc()
-        time.sleep(0.4)
-        now = known.size()
-        if now == 0 or now == last < first:
-            break
-        last = now
+    bar = max(32, total // HOT_KEYS)
+    hot = of.where(F.col(count) > bar)
+    names = hot.select(key)
+    cold = rows.join(F.broadcast(names), key, "left_anti").join(of.where(F.col(count) <= bar), key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -93,31 +111,22 @@ def steps(off: np.ndarray, most: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
         a = b
 
 
-@functools.lru_cache(maxsize=1)
-def _powers() -> tuple[np.ndarray, int, int]:
-    base = 0xD1342543DE82EF95  # odd, so invertible modulo 2**64
-    return np.ones(1, np.uint64), base, pow(base, -1, 1 << 64)
-
-
-_POW: dict[str, np.ndarray] = {}
+_BASE = 0xD1342543DE82EF95  # odd, so invertible modulo 2**64
+_POW: list[np.ndarray] = []
 
 
-def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i < n, grown by doubling."""
-    have = len(_POW.get("p", ()))
-    if have < n:
-        size = max(1 << 16, 1 << int(n - 1).bit_length())
-        _, base, inv = _powers()
-        for key, b in (("p", base), ("q", inv)):
-            out = np.ones(size, np.uint64)
+def _power_tables() -> list[np.ndarray]:
+    """base**i and base**-i modulo 2**64 for i <= PIECE."""
+    if not _POW:
+        for b in (_BASE, pow(_BASE, -1, 1 << 64)):
+            out = np.ones(PIECE + 1, np.uint64)
             done = 1
-            while done < size:
-                step = np.uint64(pow(b, done, 1 << 64))
-                m = min(done, size - done)
-                out[done : done + m] = out[:m] * step
+            while done <= PIECE:
+                m = min(done, PIECE + 1 - done)
+                out[done : done + m] = out[:m] * np.uint64(pow(b, done, 1 << 64))
                 done += m
-            _POW[key] = out
-    return _POW["p"], _POW["q"]
+            _POW.append(out)
+    return _POW
 
 
 _BYTE = random_table(7, 256)
@@ -127,28 +136,53 @@ class Words:
     """The words of consecutive texts: 64-bit word hashes and where each text's words begin.
 
     ``keep`` is a 256-entry table giving, for each byte, the byte after lower-casing, or 0 for a separator.
-    All of it is vectorised over the bytes of the whole step; no text or word becomes a Python object.
+    All of it is vectorised over bytes, in pieces that carry an unfinished word on, so that beside the words' own arrays
+    a very long text or word costs no more than a piece; no text or word becomes a Python object.
     """
 
     def __init__(self, off: np.ndarray, data: np.ndarray, keep: np.ndarray) -> None:
         off = off - off[0]
-        low = keep[data]
-        is_word = low != 0
         n = len(data)
-        starts = is_word.copy()
-        starts[1:] &= ~is_word[:-1]
-        ends = np.zeros(n + 1, bool)
-        ends[1:] = is_word
-        ends[1:n] &= ~is_word[1:]
-        first = off[:-1][off[:-1] < off[1:]]  # a text's first byte begins a word, its last byte ends one
-        starts[first] |= is_word[first]
-        last = off[1:][off[:-1] < off[1:]]
-        ends[last] |= is_word[last - 1]
-        self.start, self.end = np.flatnonzero(starts), np.flatnonzero(ends)
-        power, inverse = _power_table(n + 1)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[low] * power[:n], out=total[1:])
-        self.hash = mix64((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        power, inverse = _power_tables()
+        begins = off[:-1][off[:-1] < off[1:]]  # a text's first byte begins a word
+        start, end, value = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+        open_at, carry = -1, np.uint64(0)
+        for a in range(0, n, PIECE):
+            z = min(a + PIECE, n)
+            m = z - a
+            low = keep[data[a:z]]
+            word = low != 0
+            edge = begins[np.searchsorted(begins, a) : np.searchsorted(begins, z)] - a
+            if open_at >= 0 and (not word[0] or len(edge) and edge[0] == 0):
+                start.append(np.array([open_at]))
+                end.append(np.array([a]))
+                value.append(np.array([carry], np.uint64))
+                open_at = -1
+            s, e = word.copy(), np.zeros(m + 1, bool)
+            s[1:] &= ~word[:-1]
+            s[edge] |= word[edge]
+            s[0] = word[0]  # or goes on from the piece before
+            e[1:] = word
+            e[1:m] &= ~word[1:]
+            inner = edge[edge > 0]
+            e[inner] |= word[inner - 1]
+            first, last = np.flatnonzero(s), np.flatnonzero(e)
+            total = np.zeros(m + 1, np.uint64)
+            np.cumsum(_BYTE[low] * power[:m], out=total[1:])
+            v = (total[last] - total[first]) * inverse[first]
+            first, last = first + a, last + a
+            if open_at >= 0:
+                v[0] = np.uint64((int(carry) + int(v[0]) * pow(_BASE, a - open_at, 1 << 64)) % (1 << 64))
+                first[0] = open_at
+                open_at = -1
+            if z < n and len(last) and last[-1] == z:
+                open_at, carry = int(first[-1]), v[-1]
+                first, last, v = first[:-1], last[:-1], v[:-1]
+            start.append(first)
+            end.append(last)
+            value.append(v)
+        self.start, self.end = np.concatenate(start), np.concatenate(end)
+        self.hash = mix64(np.concatenate(value) + (self.end - self.start).astype(np.uint64))
         self.first = np.searchsorted(self.start, off)  # word index where each text begins; last entry: the end
 
 

@@ -3,9 +3,10 @@
 A document's set holds the 64-bit hashes of its distinct word n-grams. Documents with equal sets are one node. Two nodes
 link when ``den * |x & y| >= num * |x | y|``; a document's component is what links reach.
 
-1. Shared tokens. Each chunk of documents pre-aggregates its tokens (one entry a token and chunk) and sends them, packed,
-   to token ranges, which return to the chunk those tokens that more than one set holds, with their frequency. A set
-   whose shared tokens are too few for any partner drops out; it has no links. All counts cover all documents.
+1. Shared tokens. Each chunk of documents pre-aggregates its tokens (one entry a token and chunk) and sends them, packed
+   without loss, to token ranges, which return to the chunk those tokens that more than one set holds, with their
+   frequency. A set whose shared tokens are too few for any partner drops out; it has no links. All counts cover all
+   documents, whose texts are read once.
 2. Index lists. Tokens are ordered by rarity; the necessary prefix of each remaining set enters the index lists. Each
    list names its most central set (highest mean token frequency) as leader, and the lists of one leader form a group, so
    every pair that shares a prefix token meets in some group.
@@ -17,7 +18,12 @@ link when ``den * |x & y| >= num * |x | y|``; a document's component is what lin
    of the links leaves a task.
 5. Components by star contraction.
 
-No pair is dropped, capped or sampled: blocks bound what a task holds, not what is compared.
+Lists and groups that hold many of the rows (a frequent n-gram, a large family of copies) are joined by broadcast of the
+few names that can be that frequent, so that no task takes a whole group.
+
+No pair is dropped, capped or sampled: blocks bound what a task holds, not what is compared. Two different n-grams are
+told apart by 64 bits: among N distinct n-grams N * N / 2**65 pairs are expected to be equal by chance (about two pairs in
+all of 30 GB of text), and such a pair can move a link only where an overlap is one n-gram below the threshold.
 
 Defined results: null text or text without words has the empty set, links with nothing and is its own component; fewer
 than n words make one token of the whole sequence; equal sets are always linked; repeated rows are linked to each other;
@@ -30,30 +36,71 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from taglog.llm.common import SPACE_WORDS, Words, buffers, cut, ids_of, mix64, release, shingles, steps
+from taglog.llm.common import SPACE_WORDS, Words, buffers, cut, join_counted, mix64, shingles, steps
 from taglog.llm.components import connected_components
 
 #: Tokens and documents of a chunk at most (one longer document is a chunk of its own); sets and tokens of a block, about.
 CHUNK_TOKENS, CHUNK_DOCS, BLOCK, BLOCK_TOKENS = 1_000_000, 60_000, 1500, 400_000
 #: Index entries that are skipped together, and computed answers that a task keeps to derive others from.
 SKIP, KEPT = 64, 16
-#: Bytes that name a token inside its range; the range's number goes above them.
-_WIDTH = 5
+#: Bytes of text that a token is reckoned to take where ranges are counted out; it moves their size, nothing else.
+BYTES_A_TOKEN = 4
 _SHARED = 0xFFFF
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
 
+def _planes(v: np.ndarray, width: int) -> list[np.ndarray]:
+    """The lowest ``width`` bytes of little-endian numbers, byte by byte."""
+    raw = v.view(np.uint8).reshape(len(v), v.itemsize)
+    return [np.ascontiguousarray(raw[:, k]) for k in range(width)]
 
-def _packed(name: np.ndarray) -> bytes:
-    return name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_WIDTH].tobytes()
 
+def _packed(token: np.ndarray) -> bytes:
+    """Ascending 64-bit tokens without loss: the first one, then differences of as few bytes as the widest needs.
 
-def _unpacked(raw: bytes, r: int = 0) -> np.ndarray:
-    v = np.zeros((len(raw) // _WIDTH, 8), np.uint8)
-    v[:, :_WIDTH] = np.frombuffer(raw, np.uint8).reshape(-1, _WIDTH)
-    return v.reshape(-1).view("<u8") | np.uint64(r << (8 * _WIDTH))
+    The highest byte of the differences is the one with little in it, and is compressed.
+    """
+    if not len(token):
+        return b""
+    step = np.diff(token).astype("<u8")
+    width = max(1, (int(step.max(initial=0)).bit_length() + 7) // 8)
+    planes = _planes(step, width)
+    top = _ZSTD.compress(planes[-1].tobytes(), asbytes=True)
+    head = np.array([len(token), int(token[0]), width, len(top)], "<u8").tobytes()
+    return head + top + b"".join(p.tobytes() for p in planes[:-1])
+
+
+def _unpacked(raw: bytes) -> np.ndarray:
+    if not raw:
+        return np.zeros(0, np.uint64)
+    n, first, width, top = np.frombuffer(raw, "<u8", 4).tolist()
+    v = np.zeros((n - 1, 8), np.uint8)
+    v[:, width - 1] = np.frombuffer(_ZSTD.decompress(raw[32 : 32 + top], n - 1, asbytes=True), np.uint8) if n > 1 else 0
+    for k in range(width - 1):
+        v[:, k] = np.frombuffer(raw, np.uint8, n - 1, 32 + top + k * (n - 1))
+    out = np.empty(n, np.uint64)
+    out[0] = first
+    out[1:] = v.reshape(-1).view("<u8")
+    return np.cumsum(out, dtype=np.uint64)
+
+
+def _packed_owner(own: np.ndarray) -> bytes:
+    """16-bit document numbers; their high bytes are compressed."""
+    low, high = _planes(own.astype("<u2"), 2)
+    return low.tobytes() + _ZSTD.compress(high.tobytes(), asbytes=True)
+
+
+def _unpacked_owner(raw: bytes, n: int) -> np.ndarray:
+    v = np.zeros((n, 2), np.uint8)
+    if n:
+        v[:, 0] = np.frombuffer(raw, np.uint8, n)
+        v[:, 1] = np.frombuffer(_ZSTD.decompress(raw[n:], n, asbytes=True), np.uint8)
+    return v.reshape(-1).view("<u2")
 
 
 def _sets(batch_text: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -76,30 +123,29 @@ def _need(size: np.ndarray | int, num: int, den: int):
     return -(-num * size // den)
 
 
-def set_table(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_shingles, sig) of each document; sig is null for the empty set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            size, sig = [], []
-            for _, s in _sets(b.column(1), n):
-                size.append(len(s))
-                sig.append(_signature(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids_of(b, id_col), pa.array(size, pa.int64()), pa.array(sig, pa.binary())], names=[id_col, "n_shingles", "sig"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} {kind}, n_shingles long, sig binary")
+_PARTS = [("r", pa.int32()), ("p", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())]
+_WIRE = pa.schema(_PARTS)
+_WIRE_SQL = "r int, p long, kind int, a binary, b binary, c binary"
+_TOKENS, _LOCAL, _SETS, _FOUND, _DOCS = range(5)
 
 
-_WIRE = pa.schema([("r", pa.int32()), ("p", pa.int64()), ("kind", pa.int32()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary())])
-_WIRE_SQL = "r int, p long, kind int, a binary, b binary, c binary"
-_TOKENS, _LOCAL, _SETS, _FOUND = range(4)
+def _wire(rows: list[tuple], kind: pa.DataType) -> pa.Table:
+    """Rows of the wire schema, without documents' ids."""
+    cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _WIRE.types, strict=True)]
+    return pa.Table.from_arrays([*cols, pa.nulls(len(rows), kind)], names=[*_WIRE.names, "id"])
 
 
 def _chunks(n: int, ranges: int):
     """Mapper of step 1: packed tokens by range, and what the chunk keeps to itself, as rows of the wire schema."""
 
-    def flush(p: int, sets: list[np.ndarray], sigs: list[bytes]) -> pa.RecordBatch:
+    def flush(p: int, sets: list[np.ndarray], sigs: list[bytes], docs: list[tuple], ids: list[pa.Array]) -> pa.Table:
+        ids_ = pa.concat_arrays(ids)
+        m = len(docs)
+        size = pa.array([np.array([len_], "<u4").tobytes() for len_, _ in docs], pa.binary())
+        cols = [pa.array(np.full(m, p % ranges), pa.int32()), pa.array(np.full(m, p)), pa.array(np.full(m, _DOCS), pa.int32()), pa.array([s for _, s in docs], pa.binary()), size, pa.nulls(m, pa.binary())]
+        out = pa.Table.from_arrays([*cols, ids_], names=[*_WIRE.names, "id"])
+        if not sets:
+            return out
         size = np.array([len(s) for s in sets], np.int64)
         token = np.concatenate(sets)
         doc = np.repeat(np.arange(len(sets), dtype=np.uint16), size)
@@ -107,44 +153,47 @@ def _chunks(n: int, ranges: int):
         token, doc = token[order], doc[order]
         first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
         count = np.diff(np.r_[first, len(token)])
-        high, low, half = token >> np.uint64(32), token & np.uint64(0xFFFFFFFF), np.uint64(32)
-        rest = low * np.uint64(ranges)
-        product = high * np.uint64(ranges) + (rest >> half)  # token * ranges / 2**32
-        r = product >> half
-        name = (product & np.uint64(0xFFFFFFFF)) << np.uint64(8) | (rest & np.uint64(0xFFFFFFFF)) >> np.uint64(24)
+        # range of a token: its share of the 64-bit line
+        low_of = np.array([-(-(k << 64) // ranges) for k in range(1, ranges)], np.uint64)
+        ours, several = token[first], np.repeat(count > 1, count)
         own = doc[first].copy()
         own[count > 1] = _SHARED
-        several = np.repeat(count > 1, count)
-        edge = np.searchsorted(r[first], np.arange(ranges + 1, dtype=np.uint64))
-        some = np.searchsorted(r[several], np.arange(ranges + 1, dtype=np.uint64))
-        ours, again, mine = name[first], name[several], doc[several]
+        again, mine = token[several], doc[several]
+        edge = np.r_[0, np.searchsorted(ours, low_of), len(ours)]
+        some = np.r_[0, np.searchsorted(again, low_of), len(again)]
         rows: list[tuple] = []
         for k in range(ranges):
             a, z = edge[k], edge[k + 1]
             if a < z:
                 c = count[a:z]
-                rows.append((k, p, _TOKENS, _packed(ours[a:z]), own[a:z].astype("<u2").tobytes(), c[c > 1].astype("<u4").tobytes()))
+                rows.append((k, p, _TOKENS, _packed(ours[a:z]), _packed_owner(own[a:z]), c[c > 1].astype("<u4").tobytes()))
             a, z = some[k], some[k + 1]
             if a < z:
-                rows.append((k, p, _LOCAL, _packed(again[a:z]), mine[a:z].astype("<u2").tobytes(), b""))
+                rows.append((k, p, _LOCAL, _packed(again[a:z]), _packed_owner(mine[a:z]), b""))
         rows.append((p % ranges, p, _SETS, b"".join(sigs), size.astype("<u4").tobytes(), b""))
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), _WIRE.types, strict=True)], schema=_WIRE)
+        return pa.concat_tables([out, _wire(rows, ids_.type)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, sets, sigs, tokens, seen = TaskContext.get().partitionId() << 32, [], [], 0, set()
+        p, sets, sigs, tokens, seen, docs, ids = TaskContext.get().partitionId() << 32, [], [], 0, set(), [], []
         for b in batches:
-            for _, s in _sets(b.column(0), n):
-                if not len(s) or (sig := _signature(s)) in seen:
-                    continue
-                if sets and (tokens + len(s) > CHUNK_TOKENS or len(sets) >= CHUNK_DOCS):
-                    yield flush(p, sets, sigs)
-                    p, sets, sigs, tokens, seen = p + 1, [], [], 0, set()
-                sets.append(s)
-                sigs.append(sig)
-                seen.add(sig)
-                tokens += len(s)
-        if sets:
-            yield flush(p, sets, sigs)
+            at = 0
+            for i, s in _sets(b.column(1), n):
+                sig = _signature(s) if len(s) else None
+                is_new = sig is not None and sig not in seen
+                if docs and (is_new and sets and tokens + len(s) > CHUNK_TOKENS or len(docs) >= CHUNK_DOCS):
+                    ids.append(b.column(0).slice(at, i - at))
+                    yield from flush(p, sets, sigs, docs, ids).combine_chunks().to_batches()
+                    p, sets, sigs, tokens, seen, docs, ids, at = p + 1, [], [], 0, set(), [], [], i
+                    is_new = sig is not None
+                docs.append((len(s), sig))
+                if is_new:
+                    sets.append(s)
+                    sigs.append(sig)
+                    seen.add(sig)
+                    tokens += len(s)
+            ids.append(b.column(0).slice(at))
+        if docs:
+            yield from flush(p, sets, sigs, docs, ids).combine_chunks().to_batches()
 
     return run
 
@@ -152,20 +201,22 @@ def _chunks(n: int, ranges: int):
 def _count_range(key: tuple, rows: pa.Table) -> pa.Table:
     """Step 1 at a token range: tell every chunk its tokens that more than one set holds, and their frequency."""
     kind = rows.column("kind").to_numpy()
-    keep = rows.filter(pa.array(kind != _TOKENS)).select(_WIRE.names).cast(_WIRE)
+    names = [*_WIRE.names, "id"]
+    keep = rows.filter(pa.array(kind != _TOKENS)).select(names)
     sent = rows.filter(pa.array(kind == _TOKENS))
     if not len(sent):
         return keep
     r, chunk = key[0].as_py(), sent.column("p").to_numpy()
     low, own, count = [], [], []
     for a, b, c in zip(*(sent.column(x).to_pylist() for x in "abc"), strict=True):
-        o, k = np.frombuffer(b, "<u2"), np.ones(len(b) // 2, np.int64)
+        t = _unpacked(a)
+        o, k = _unpacked_owner(b, len(t)), np.ones(len(t), np.int64)
         k[o == _SHARED] = np.frombuffer(c, "<u4")
-        low.append(_unpacked(a))
+        low.append(t)
         own.append(o)
         count.append(k)
     length = [len(x) for x in low]
-    low, own, count, at = np.concatenate(low), np.concatenate(own), np.concatenate(count), np.repeat(np.arange(len(length)), length)
+    low, own, count, at = np.concatenate(low), np.concatenate(own), np.concatenate(count), np.repeat(np.arange(len(length), dtype=np.int32), length)
     order = np.argsort(low, kind="stable")
     low, own, count, at = low[order], own[order], count[order], at[order]
     first = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
@@ -176,27 +227,32 @@ def _count_range(key: tuple, rows: pa.Table) -> pa.Table:
     order = np.argsort(at, kind="stable")
     low, own, total = low[order], own[order], total[order]
     edge = np.searchsorted(at[order], np.arange(len(length) + 1))
-    out = [(r, int(chunk[i]), _FOUND, _packed(low[a:z]), own[a:z].tobytes(), np.minimum(total[a:z], 0xFFFF).astype("<u2").tobytes()) for i, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < z]
+    out = [(r, int(chunk[i]), _FOUND, _packed(low[a:z]), _packed_owner(own[a:z]), np.minimum(total[a:z], 0xFFFF).astype("<u2").tobytes()) for i, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True)) if a < z]
     if not out:
         return keep
-    return pa.concat_tables([keep, pa.Table.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), _WIRE.types, strict=True)], schema=_WIRE)])
+    return pa.concat_tables([keep, _wire(out, rows.schema.field("id").type).cast(keep.schema)])
 
 
 def _gather_chunk(num: int, den: int):
-    """Step 1 back at a chunk: the sets that may have partners, with their shared tokens, rarest first."""
+    """Step 1 back at a chunk: its documents, and its sets that may have partners, with their shared tokens, rarest first."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         token, doc, freq, flagged, flagged_freq = [], [], [], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         sigs, size = b"", np.zeros(0, np.int64)
         local, local_doc = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint16)]
-        for r, kind, a, b, c in zip(*(rows.column(x).to_pylist() for x in ("r", "kind", "a", "b", "c")), strict=True):
+        is_doc = pa.array(rows.column("kind").to_numpy() == _DOCS)
+        docs, rows = rows.filter(is_doc), rows.filter(pc.invert(is_doc))
+        for kind, a, b, c in zip(*(rows.column(x).to_pylist() for x in ("kind", "a", "b", "c")), strict=True):
             if kind == _SETS:
                 sigs, size = a, np.frombuffer(b, "<u4").astype(np.int64)
-            elif kind == _LOCAL:
-                local.append(_unpacked(a, r))
-                local_doc.append(np.frombuffer(b, "<u2"))
+                continue
+            t = _unpacked(a)
+            o = _unpacked_owner(b, len(t))
+            if kind == _LOCAL:
+                local.append(t)
+                local_doc.append(o)
             else:  # frequencies above 65535 only order tokens, and tie
-                t, o, f = _unpacked(a, r), np.frombuffer(b, "<u2"), np.frombuffer(c, "<u2").astype(np.int64)
+                f = np.frombuffer(c, "<u2").astype(np.int64)
                 many = o == _SHARED
                 flagged.append(t[many])
                 flagged_freq.append(f[many])
@@ -214,15 +270,18 @@ def _gather_chunk(num: int, den: int):
         token, doc, freq = token[order], doc[order], freq[order]
         edge = np.searchsorted(doc, np.arange(len(size) + 1))
         alive = np.flatnonzero(np.diff(edge) >= _need(size, num, den))
-        return pa.table(
-            {
-                "p": pa.array([key[0].as_py()] * len(alive), pa.int64()),
-                "sig": pa.array([sigs[20 * i : 20 * i + 20] for i in alive], pa.binary()),
-                "size": pa.array(size[alive], pa.int64()),
-                "tokens": pa.array([token[edge[i] : edge[i + 1]].tobytes() for i in alive], pa.binary()),
-                "central": pa.array([float(freq[edge[i] : edge[i + 1]].sum()) / float(size[i]) for i in alive], pa.float64()),
-            }
-        )
+        id_type = rows.schema.field("id").type
+        n, m = len(docs), len(alive)
+        doc_size = np.frombuffer(b"".join(docs.column("b").to_pylist()), "<u4").astype(np.int64)
+        out = {
+            "p": pa.array([key[0].as_py()] * (n + m), pa.int64()),
+            "sig": pa.chunked_array([docs.column("a").combine_chunks(), pa.array([sigs[20 * i : 20 * i + 20] for i in alive], pa.binary())], pa.binary()),
+            "size": pa.array(np.r_[doc_size, size[alive]], pa.int64()),
+            "tokens": pa.array([None] * n + [token[edge[i] : edge[i + 1]].tobytes() for i in alive], pa.binary()),
+            "central": pa.array([None] * n + [float(freq[edge[i] : edge[i + 1]].sum()) / float(size[i]) for i in alive], pa.float64()),
+            "id": pa.chunked_array([docs.column("id").combine_chunks(), pa.nulls(m, id_type)], id_type),
+        }
+        return pa.table(out)
 
     return run
 
@@ -382,41 +441,48 @@ def _blocks(chosen: Column) -> Column:
     return F.ceil(F.greatest(F.sum(chosen.cast("long")) / BLOCK, F.sum(F.when(chosen, F.col("size")).otherwise(0)) / BLOCK_TOKENS)).cast("int")
 
 
-def jaccard_links(docs: DataFrame, n: int, num: int, den: int, text_col: str = "text", tokens: int | None = None) -> DataFrame:
-    """(a, b): links between different sets, by signature, enough to connect every class."""
+def _set_tables(docs: DataFrame, n: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over the texts: (id, size, sig) of every document, and the distinct sets that may have partners."""
     spark = docs.sparkSession
-    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(tokens or 0) // CHUNK_TOKENS), 1)
-    wire = docs.select(text_col).mapInArrow(_chunks(n, ranges), _WIRE_SQL)
-    found = wire.groupBy("r").applyInArrow(_count_range, _WIRE_SQL)
-    alive = cut(found.groupBy("p").applyInArrow(_gather_chunk(num, den), "p long, sig binary, size long, tokens binary, central double"))
-    del wire, found
-    release(spark)  # the packed tokens are the bulk of all shuffles
-    once = alive.groupBy("sig").agg(F.min("p").alias("p"))  # equal sets of different chunks
-    sets = cut(alive.join(once, ["sig", "p"], "left_semi").drop("p"))
+    size = docs.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // (BYTES_A_TOKEN * CHUNK_TOKENS)), 1)
+    kind = docs.schema[id_col].dataType.simpleString()
+    wire = docs.select(id_col, text_col).mapInArrow(_chunks(n, ranges), f"{_WIRE_SQL}, id {kind}")
+    found = wire.groupBy("r").applyInArrow(_count_range, f"{_WIRE_SQL}, id {kind}")
+    out = cut(found.groupBy("p").applyInArrow(_gather_chunk(num, den), f"p long, sig binary, size long, tokens binary, central double, id {kind}"))
+    sets = out.where("tokens is not null").drop("id")
+    once = sets.groupBy("sig").agg(F.min("p").alias("p"))  # equal sets of different chunks
+    return out.where("tokens is null").select("id", "size", "sig"), cut(sets.join(once, ["sig", "p"], "left_semi").drop("p"))
 
-    entries = sets.select("sig", "size", "tokens", "central").mapInArrow(_prefixes(num, den), "token long, sig binary, size long, central double")
-    leaders = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("central", "sig")).alias("lead")).where("n > 1")
-    member = cut(entries.join(leaders, "token").select("sig", "size", F.col("lead.sig").alias("lead"), F.col("lead.central").alias("lead_central")).distinct())
 
-    best = member.where("sig <> lead").groupBy("sig", "size").agg(F.max(F.struct("lead_central", "lead")).alias("b")).select("sig", "size", F.col("b.lead").alias("lead"))
-    width = best.groupBy("lead").agg(_blocks(F.lit(True)).alias("blocks"))
-    starred = best.join(width, "lead").select("lead", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig")
+def jaccard_links(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b): links between different sets, by signature, enough to connect every class."""
+    entries = sets.select("sig", "size", "tokens", "central").mapInArrow(_prefixes(num, den), "token long, sig binary, size long, central double")
+    lists = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.max(F.struct("central", "sig")).alias("lead")).where("n > 1")
+    lists = cut(lists.select("token", "n", F.col("lead.sig").alias("lead"), F.col("lead.central").alias("lead_central")))
+    total = lists.agg(F.sum("n")).first()[0] or 0
+    member = cut(join_counted(entries, lists, "token", "n", total).select("sig", "size", "lead", "lead_central").distinct())
+
+    best = cut(member.where("sig <> lead").groupBy("sig", "size").agg(F.max(F.struct("lead_central", "lead")).alias("b")).select("sig", "size", F.col("b.lead").alias("lead")))
+    width = cut(best.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), _blocks(F.lit(True)).alias("blocks")))
+    total = width.agg(F.sum("n")).first()[0] or 0
+    starred = join_counted(best, width, "lead", "n", total).select("lead", F.pmod(F.xxhash64("sig"), F.col("blocks")).cast("int").alias("block"), "sig")
     centre = width.select("lead", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("lead").alias("sig"))
     star_rows = starred.unionByName(centre).join(sets.select("sig", "size", "tokens"), "sig")
     stars = cut(star_rows.groupBy("lead", "block").applyInArrow(_star_links(num, den), "a binary, b binary"))
 
     rooted = member.select("sig", "size", "lead").join(stars.select(F.col("a").alias("sig"), F.col("b").alias("star")), "sig", "left")
-    rooted = rooted.select("sig", "size", "lead", F.coalesce("star", "sig").alias("root")).withColumn("free", F.col("root") != F.col("lead"))
-    wide = rooted.groupBy("lead").agg(
-        _blocks(F.col("free")).alias("u"), _blocks(~F.col("free")).alias("v")
-    ).where("u > 0")
-    placed = rooted.join(wide, "lead").withColumn("at", F.pmod(F.xxhash64("sig"), F.when(F.col("free"), F.col("u")).otherwise(F.col("v"))).cast("int"))
+    rooted = cut(rooted.select("sig", "size", "lead", F.coalesce("star", "sig").alias("root")).withColumn("free", F.col("root") != F.col("lead")))
+    wide = cut(rooted.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), _blocks(F.col("free")).alias("u"), _blocks(~F.col("free")).alias("v")).where("u > 0"))
+    total = wide.agg(F.sum("n")).first()[0] or 0
+    placed = join_counted(rooted, wide, "lead", "n", total).withColumn("at", F.pmod(F.xxhash64("sig"), F.when(F.col("free"), F.col("u")).otherwise(F.col("v"))).cast("int"))
     # block pairs: free against free (i <= j), and free (i) against what is linked to the leader (j)
+    place = "array<struct<i:int,j:int,with_linked:int,side:int>>"
     to_u = F.when(F.col("free"), F.transform(F.sequence(F.lit(0), F.col("u") - 1), lambda k: F.struct(F.least(k, F.col("at")).alias("i"), F.greatest(k, F.col("at")).alias("j"), F.lit(0).alias("with_linked"), F.when(F.col("u") == 1, 2).when(k == F.col("at"), 2).when(k > F.col("at"), 0).otherwise(1).alias("side"))))
     to_v = F.when(F.col("free") & (F.col("v") > 0), F.transform(F.sequence(F.lit(0), F.greatest(F.col("v") - 1, F.lit(0))), lambda k: F.struct(F.col("at").alias("i"), k.alias("j"), F.lit(1).alias("with_linked"), F.lit(0).alias("side"))))
     from_v = F.when(~F.col("free"), F.transform(F.sequence(F.lit(0), F.col("u") - 1), lambda k: F.struct(k.alias("i"), F.col("at").alias("j"), F.lit(1).alias("with_linked"), F.lit(1).alias("side"))))
-    none = F.array().cast("array<struct<i:int,j:int,with_linked:int,side:int>>")
-    tasks = placed.select("sig", "lead", "root", F.explode(F.concat(*(F.coalesce(x.cast("array<struct<i:int,j:int,with_linked:int,side:int>>"), none) for x in (to_u, to_v, from_v)))).alias("t"))
+    none = F.array().cast(place)
+    tasks = placed.select("sig", "lead", "root", F.explode(F.concat(*(F.coalesce(x.cast(place), none) for x in (to_u, to_v, from_v)))).alias("t"))
     tasks = tasks.select("sig", "lead", "root", "t.*").join(sets.select("sig", "size", "tokens"), "sig")
     pairs = tasks.groupBy("lead", "i", "j", "with_linked").applyInArrow(_group_links(num, den), "a binary, b binary")
     return stars.unionByName(pairs)
@@ -427,12 +493,11 @@ def jaccard_classes(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100,
 
     component_id is the smallest id that links reach (links between documents of Jaccard similarity num / den or more).
     """
-    table = cut(set_table(docs, n, id_col, text_col))
-    total = table.agg(F.sum("n_shingles")).first()[0]
-    nodes = connected_components(jaccard_links(docs, n, num, den, text_col, total), "a", "b")
-    named = table.where("sig is not null").groupBy("sig").agg(F.min(id_col).alias("least"), F.count(F.lit(1)).alias("copies"))
+    table, sets = _set_tables(docs, n, num, den, id_col, text_col)
+    nodes = connected_components(jaccard_links(sets, num, den), "a", "b")
+    named = table.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"))
     named = named.join(nodes.withColumnRenamed("node", "sig"), "sig", "left").select("sig", "least", "copies", F.coalesce("component", "sig").alias("component"))
     name = named.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("copies").alias("members"))
     of = named.join(name, "component").select("sig", "component_id", "members")
     out = table.join(of, "sig", "left")
-    return out.select(id_col, "n_shingles", F.when(F.col("sig").isNull(), F.col(id_col)).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("members", F.lit(1)).alias("n_members"))
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("sig").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("members", F.lit(1)).alias("n_members"))

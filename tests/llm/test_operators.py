@@ -8,10 +8,12 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
-from taglog.llm import html_text, jaccard, langid, licenses, media, packing, pii, quality, sharding
+from taglog.llm import common, html_text, jaccard, langid, licenses, media, packing, pii, quality, sharding
 from taglog.llm.common import table
 from taglog.llm.components import connected_components
 from taglog.llm.decontaminate import contamination_report
@@ -87,6 +89,55 @@ def test_jaccard_against_brute_force(spark, odd, none, monkeypatch):
     assert classes(none, 4, 85) == []
 
 
+def test_equal_names_do_not_link(spark, monkeypatch):
+    """Tokens that differ only in the bits below the highest 40 are different n-grams."""
+    texts = [f"pair{k} left{k} right{k} side{k}" for k in range(40)]
+    real = jaccard.shingles
+
+    def close(words, n):
+        tokens, first = real(words, n)
+        order = np.argsort(np.argsort(tokens))
+        return np.uint64(7 << 60) + (order // 2).astype(np.uint64) * np.uint64(1 << 40) + tokens % np.uint64(1 << 20), first
+
+    token, _ = close(jaccard.Words(np.cumsum([0, *map(len, texts)]), np.frombuffer("".join(texts).encode(), np.uint8), jaccard.SPACE_WORDS), 4)
+    assert len(set(token.tolist())) == 40 and len(set((token >> np.uint64(24)).tolist())) == 20
+    for t in (np.sort(token), np.sort(np.r_[token, token]), token[:1], np.array([0, 2**64 - 1], np.uint64)):
+        assert np.array_equal(jaccard._unpacked(jaccard._packed(t)), t)
+    rows = jaccard._chunks(4, 3)
+    monkeypatch.setattr(jaccard, "shingles", close)
+
+    class Context:
+        @staticmethod
+        def get():
+            return Context
+
+        @staticmethod
+        def partitionId():
+            return 0
+
+    monkeypatch.setattr(jaccard, "TaskContext", Context)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(40), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    wire = pa.Table.from_batches(rows([batch]))
+    back = pa.concat_tables([jaccard._count_range((pa.scalar(r),), wire.filter(pc.equal(wire["r"], r))) for r in range(3)])
+    found = jaccard._gather_chunk(85, 100)((pa.scalar(0),), back)
+    assert found.column("tokens").null_count == len(found) == 40  # no set shares a token
+
+
+def test_word_scanner_in_pieces(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = ["".join(rng.choice("aB c") for _ in range(rng.randint(0, 30))) for _ in range(rng.randint(1, 6))]
+        data = "".join(texts).encode()
+        args = np.cumsum([0, *(len(t) for t in texts)]), np.frombuffer(data, np.uint8), common.SPACE_WORDS
+        want = common.Words(*args)
+        monkeypatch.setattr(common, "PIECE", rng.randint(1, 9))
+        monkeypatch.setattr(common, "_POW", [])
+        got = common.Words(*args)
+        monkeypatch.undo()
+        assert all(np.array_equal(getattr(got, k), getattr(want, k)) for k in ("start", "end", "hash", "first"))
+        assert [data[a:z].decode() for a, z in zip(got.start, got.end)] == [w for t in texts for w in t.split()]
+
+
 def test_block_join_against_all_pairs():
     rng = np.random.default_rng(2)
     sets = [np.unique(np.r_[rng.choice(60, rng.integers(20, 50), replace=False), rng.integers(100, 140, 5)]) for _ in range(200)]
