@@ -48,6 +48,7 @@ from taglog.llm.components import connected_components
 CHUNK_TOKENS, CHUNK_DOCS, BLOCK, BLOCK_TOKENS = 1_000_000, 60_000, 1500, 400_000
 #: Index entries that are skipped together, and computed answers that a task keeps to derive others from.
 SKIP, KEPT = 64, 16
+DOCS_A_GROUP = 512
 #: Bytes of text that a token is reckoned to take where ranges are counted out; it moves their size, nothing else.
 BYTES_A_TOKEN = 4
 _SHARED = 0xFFFF
@@ -142,7 +143,9 @@ def _chunks(n: int, ranges: int):
         ids_ = pa.concat_arrays(ids)
         m = len(docs)
         size = pa.array([np.array([len_], "<u4").tobytes() for len_, _ in docs], pa.binary())
-        cols = [pa.array(np.full(m, p % ranges), pa.int32()), pa.array(np.full(m, p)), pa.array(np.full(m, _DOCS), pa.int32()), pa.array([s for _, s in docs], pa.binary()), size, pa.nulls(m, pa.binary())]
+        # documents need no chunk to come back to: they travel in small groups under numbers below zero
+        group = np.arange(m) // DOCS_A_GROUP
+        cols = [pa.array((p + group) % ranges, pa.int32()), pa.array(-1 - (p + (group << 20))), pa.array(np.full(m, _DOCS), pa.int32()), pa.array([s for _, s in docs], pa.binary()), size, pa.nulls(m, pa.binary())]
         out = pa.Table.from_arrays([*cols, ids_], names=[*_WIRE.names, "id"])
         if not sets:
             return out
