@@ -285,24 +285,43 @@ def test_packing(spark, odd, none):
             assert packing.assemble(spark.createDataFrame(rows, packing.pack_documents(docs, with_ids=True).schema)).count() == len(by)
 
 
-def test_best_fit_plan_places_everything():
+def best_fit(lengths, capacity):
+    """Gaps of plain best fit, longest first, one piece at a time."""
+    gaps = []
+    for n in sorted(lengths, reverse=True):
+        i = bisect.bisect_left(gaps, n)
+        bisect.insort(gaps, (gaps.pop(i) if i < len(gaps) else capacity) - n)
+    return gaps
+
+
+def test_best_fit_supersteps(spark):
+    """Many ranges, crowded lengths and repeated ids: every piece placed once, gapless, in as few sequences as plain best fit."""
     rng = random.Random(3)
-    counts = {rng.randint(1, 64): rng.randint(1, 500) for _ in range(40)} | {64: 7, 1: 1000}
-    used = collections.Counter()
-    seen = collections.Counter()
-    for length, rank, n, first, offset in packing.match(counts, 64):
-        assert rank == seen[length]
-        seen[length] += n
-        for s in range(first, first + n):
-            assert used[s] == offset
-            used[s] += length
-    assert seen == counts and max(used.values()) <= 64
-    gaps = []  # plain best fit, one document at a time
-    for length in sorted((k for k, v in counts.items() for _ in range(v)), reverse=True):
-        i = bisect.bisect_left(gaps, length)
-        gap = gaps.pop(i) if i < len(gaps) else 64
-        bisect.insort(gaps, gap - length)
-    assert len(used) == len(gaps)
+    tables = [
+        [rng.randint(1, 64) for _ in range(900)] + [64] * 7 + [1] * 300,
+        [rng.randint(16, 30) for _ in range(400)],
+        [22] * 500,
+        [min(64, 1 + int(rng.expovariate(1 / 12))) for _ in range(1500)],
+        [3],
+    ]
+    for lengths in tables:
+        rows = [(k % 40, k, 0, n, 0) for k, n in enumerate(lengths)]
+        parts = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long").repartition(3)
+        got = packing.pack(parts, 64).collect()
+        assert sorted(tuple(r)[:5] for r in got) == sorted(rows)
+        by = collections.defaultdict(list)
+        for r in got:
+            by[r.sequence_id].append((r.offset, r.length))
+        for part in by.values():
+            part.sort()
+            assert [o for o, _ in part] == [sum(n for _, n in part[:k]) for k in range(len(part))] and sum(n for _, n in part) <= 64
+        assert len(by) <= len(best_fit(lengths, 64)) * 1.01 + 1
+
+
+def test_tokens_of_long_runs():
+    encode = packing._encoder(packing.default_tokenizer())
+    for text in (" " * 1_000_000, "a" * 300_000, "x " * 50_000, "\n" * 5000 + "é" * 5000, " \t" * 40_000 + "end", "<|endoftext|> a"):
+        assert encode(text).tolist() == [*encode.exact.encode(text, add_special_tokens=False).ids, 0]
 
 
 def test_sharding(spark, odd, none):
