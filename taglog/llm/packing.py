@@ -45,7 +45,7 @@ CAPACITY = 2048
 TERMINATOR = 0
 LONG_RUN = 2000
 #: A class of lengths is above the capacity divided by one of these, and at most the class before.
-CLASSES = (2, 3, 4, 6, 8, 16, 32)
+CLASSES = (2, 3, 6, 24)
 #: New sequences that one row stands for at most, between supersteps.
 FRESH = 50_000
 
@@ -317,7 +317,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         if k < max(present):
             used = swept.where("kind = 0").select(F.col("p").cast("long").alias("p"), "gap", "rank", "sequence_id").mapInArrow(_shrink(shared), "sequence_id long, gap long")
             opened = spark.createDataFrame(fresh, "first long, n long, gap long").select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("sequence_id"), "gap")
-            gaps = cut(gaps.where(F.col("gap") < low).unionByName(used).unionByName(opened).where("gap > 0"))
+            gaps = cut(gaps.where(F.col("gap") < low).unionByName(used).unionByName(opened).where("gap > 0").coalesce(n))
     if out is None:
         out = parts.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     return out

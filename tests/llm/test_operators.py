@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -371,6 +372,50 @@ def test_html_beside_the_best_container(spark):
     assert html_text.main_text(f"<body>{two}{furniture}</body>") == "First part, of some words, here.\n\nSecond part."
 
 
+def test_html_names_and_odd_pages(spark, none):
+    body = "".join(f"<p>Paragraph {k}, with some words, and more of them, to be read.</p>" for k in range(4))
+    want = "\n\n".join(f"Paragraph {k}, with some words, and more of them, to be read." for k in range(4))
+    post = '<div class="post-12 post type-post status-publish format-standard tag-news category-social-media hentry">'
+    for box in (post, '<div class="story tag-comments has-sidebar">', "<div>", '<div id="widget">'):
+        assert html_text.main_text(f"<body><nav>x</nav>{box}{body}</div></body>") == want, box
+    beside = '<div class="comment-list"><p>A comment, first, of all.</p></div><div class=siteFooter>foot, er</div><div class="post-tags">a, b</div><div id="cookie_banner">We use, cookies.</div>'
+    assert html_text.main_text(f"<body>{post}{body}</div>{beside}</body>") == want
+    long = "".join(f"<div class=c><p>I think, dear all, that this one, number {k}, is fine.</p></div>" for k in range(12))
+    assert html_text.main_text(f"<body><div><h1>Title</h1>{body}</div><section class=comments>{long}</section></body>") == "Title\n\n" + want
+    for page in ("<a '" * 30_000, "<a '>' " * 30_000 + "end", "<div>" * 60_000 + "deep", "<p>" * 60_000 + "x", "<div><p>" * 30_000 + "x", "</div>" * 60_000, "<" * 60_000, "<b" * 40_000, "<table><tr><td>" * 20_000 + "y", "word " * 200_000):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 20
+    assert html_text.main_text("a <a title='it>s' href=x>link</a> b") == "a link b" and html_text.main_text("x < y & z <b>w</b> 3<4") == "x < y & z w 3<4"
+    schema = "page_id long, url string, html string, text string, n_chars string"
+    page = spark.createDataFrame([(1, None, f"<p>{LONG}", "t", "n")], schema)
+    assert [tuple(r) for r in html_text.extract_text(page).collect()] == [(1, None, LONG.strip(), len(LONG.strip()))]
+    assert html_text.extract_text(page.where("false")).count() == 0
+
+
+def test_html_against_a_second_reading(spark):
+    """Pages written from known articles by a plain generator, with furniture around them."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghilmnorstu") for _ in range(rng.randint(2, 9)))
+    sentence = lambda: " ".join(word() for _ in range(rng.randint(6, 20))).capitalize() + rng.choice([".", ", too.", "!"])
+    for k in range(120):
+        parts = [("h1", " ".join(word() for _ in range(4)))]
+        for _ in range(rng.randint(3, 9)):
+            parts.append(("p", " ".join(sentence() for _ in range(rng.randint(2, 5)))))
+            if rng.random() < 0.3:
+                parts.append(("h2", word()))
+            if rng.random() < 0.2:
+                parts += [("li", sentence())] * 2
+        box = rng.choice(["article", "main", "div class=content", 'div class="post tag-news hentry"', "div id=story"])
+        inner = "".join(f"<{t}>{x.replace('too', 't&#111;o')}</{t}>" if t != "li" else f"<ul><li>{x}</ul>" for t, x in parts)
+        links = "".join(f"<li><a href=/{word()}>{word()} {word()}</a>" for _ in range(rng.randint(3, 20)))
+        around = [f"<nav><ul>{links}</ul></nav>", f"<div class=sidebar><p>{sentence()}</p><ul>{links}</ul></div>", f"<div class=ad>{sentence()}</div>", f"<form><p>{sentence()}</form>", f"<section class=comments><p>{sentence()}</p><p>{sentence()}</p></section>", f"<footer>{sentence()}</footer>", "<script>var x = '<p>no</p>';</script>"]
+        rng.shuffle(around)
+        cut = rng.randint(0, len(around))
+        page = f"<html><head><title>{word()}</title></head><body>{''.join(around[:cut])}<{box}>{inner}</{box.split()[0]}>{''.join(around[cut:])}</body></html>"
+        assert html_text.main_text(page) == "\n\n".join(x for _, x in parts), (k, box)
+
+
 def slow_best_window(text, name):
     """The best coefficient of any run of words of the text with a template of the licence."""
     w = re.sub("[^a-z0-9]+", " ", text.lower()).strip().split(" ")
@@ -436,6 +481,8 @@ def test_pii(spark, odd, none):
     rng = random.Random(7)
     noise = ["".join(rng.choice("a1.@-+ ()9") for _ in range(rng.randint(0, 60))) for _ in range(5000)]
     assert all(pii.base_spans(t) == slow_base(t) for t in noise)
+    assert all(pii.base_spans(t) == slow_base(t) for t in ("0" * 4000 + ".1.1.1", "1.0002.03.255", "1.2.3.256", "0.0.0.0"))
+    assert pii.base_spans("0" * 5000 + ".1.1.1") == [(1, 0, 5006)] and pii.base_spans("9" * 5000 + ".1.1.1") == []
     net = pii.train()
     x, y = pii.make_examples(150, 321)
     got = net.viterbi(net.scores(x), np.full(150, pii.WINDOW))
@@ -452,6 +499,48 @@ def test_pii(spark, odd, none):
     assert clean[0].text == "é call <phone> now or <email>, <ip>" and clean[1].text is None
 
 
+def written_forms(rng):
+    d = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    card = d(16)
+    while not pii.luhn(card):
+        card = d(16)
+    a, b, c = d(3), d(3), d(4)
+    yield 3, f"{a}-{b}-{c}"
+    yield 3, f"{a}.{b}.{c}"
+    yield 3, f"{a} {b} {c}"
+    yield 3, f"({a}) {b}-{c}"
+    yield 2, ".".join(card[k : k + 4] for k in range(0, 16, 4))
+
+
+def test_pii_recall_of_written_forms():
+    """Spans found in sentences that training has not seen, for each form that the base patterns leave out."""
+    rng, net = random.Random(41), pii.train()
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    texts, want = [], []
+    for _ in range(150):
+        for form, (kind, s) in enumerate(written_forms(rng)):
+            before = "".join(word() + " " for _ in range(rng.randint(0, 12)))
+            texts.append(before + s + rng.choice([" ", ". ", ", "]) + " ".join(word() for _ in range(rng.randint(1, 12))))
+            want.append((form, (kind, len(before), len(before) + len(s))))
+    found = collections.Counter()
+    for (form, span), (_, spans) in zip(want, pii.spans_of(net, texts), strict=True):
+        found[form] += span in spans
+    assert min(found[k] / 150 for k in range(5)) >= 0.9, found
+
+
+def test_pii_long_stretches(monkeypatch):
+    """A stretch decoded in parts gives what it gives whole, and dense long texts take bounded time."""
+    rng, net = random.Random(6), pii.train()
+    text = " ".join(rng.choice([s for _, s in written_forms(rng)] + ["call 7", "12:30"]) for _ in range(800))
+    whole = pii.spans_of(net, [text])
+    monkeypatch.setattr(pii, "CORE", 16)
+    assert pii.spans_of(net, [text]) == whole and len(whole[0][1]) > 100
+    monkeypatch.undo()
+    start = time.time()
+    assert len(pii.spans_of(net, ["12 345 " * 60_000])) == 1
+    assert time.time() - start < 120
+
+
 def test_html(spark):
     page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
     <div id=menu><ul><li><a href=/a>Home</a><li><a href=/b>News, more</a></ul></div><div class="ad">Buy, now, cheap!</div>
