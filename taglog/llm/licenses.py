@@ -7,7 +7,9 @@ functions are used, every row on its own: nothing is shuffled, joined or broadca
 
 A notice with neighbours in its unit is found by windows over the words of the whole text. A window is a run of words
 with the sizes that the threshold allows a template; the best one starts and ends at bigrams of its template, so only
-such windows are compared, and only in texts that hold enough of a template's bigrams. Each start keeps its best window;
+such windows are compared, and only in texts that hold enough of a template's bigrams. Before anything else, a text is
+passed over if it holds none of a few telling words, or none of some telling bigrams: they are chosen so that every window
+or unit that reaches the threshold holds one, as it shares so many bigrams with its template that the rest are too few. Each start keeps its best window;
 of windows that overlap, the one with the highest coefficient stays (a notice is not also its near namesake). A licence
 that windows find and no unit gives is one more match.
 
@@ -18,6 +20,7 @@ are not read.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 
@@ -74,6 +77,35 @@ def template_bigrams(templates: dict[str, list[str]]) -> list[tuple[str, list[st
     return out
 
 
+def telling_words(table: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> list[str]:
+    """Words of which a text must hold one to match any template.
+
+    A match shares at least ratio * n of a template's n bigrams, so it holds one of any n - ceil(ratio * n) + 1 of them.
+    Words are taken greedily, long ones first among equals, until that many bigrams of each template hold a taken word.
+    """
+    ratio, taken = threshold / (2 - threshold), []
+    left = [(len(g) - math.ceil(len(g) * ratio - 1e-9) + 1, set(g)) for _, g in table]
+    while open_ := [(n, g) for n, g in left if n > 0]:
+        gain: dict[str, float] = {}
+        for n, g in open_:
+            own: dict[str, int] = {}
+            for x in g:
+                for w in set(x.split(" ")):
+                    own[w] = own.get(w, 0) + 1
+            for w, k in own.items():
+                gain[w] = gain.get(w, 0.0) + min(k, n) / n
+        best = max(gain, key=lambda w: (gain[w] * min(len(w), 8) ** 2, w))
+        taken.append(best)
+        left = [(n - len(gone), g - gone) for n, g in left for gone in [{x for x in g if best in x.split(" ")}]]
+    return taken
+
+
+def telling_bigrams(table: list[tuple[str, list[str]]], threshold: float = THRESHOLD) -> list[str]:
+    """Bigrams of which a text must hold one to match any template: of each template its longest, by the same count."""
+    ratio = threshold / (2 - threshold)
+    return sorted({x for _, g in table for x in sorted(g, key=lambda x: (-len(x), x))[: len(g) - math.ceil(len(g) * ratio - 1e-9) + 1]})
+
+
 def _words(text: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", " ")), " ")
 
@@ -134,19 +166,26 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = ALL, thresh
     low, high = min(len(g) for _, g in table) * ratio, max(len(g) for _, g in table) / ratio
     known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in table))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t]*\n"), F.array(text)))
+    low_text = F.lower(text)
+    hopeful = functools.reduce(lambda a, w: a | F.contains(low_text, F.lit(w)), telling_words(table, threshold), F.lit(False))
+    spaced = F.concat(F.lit(" "), F.regexp_replace(low_text, "[^a-z0-9]+", " "), F.lit(" "))
+    hopeful &= F.exists(F.array(*map(F.lit, telling_bigrams(table, threshold))), lambda x: F.contains(spaced, F.concat(F.lit(" "), x, F.lit(" "))))
+    units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
     words = F.transform(units, _words)
     # a unit of n words has at most n - 1 distinct bigrams
     words = F.filter(words, lambda w: (F.size(w) > 1) & (F.size(w) - 1 >= low))
     grams = F.filter(F.transform(words, _bigrams), lambda g: F.size(g).between(low, high))
-    grams = F.array_distinct(grams)
+    # equal sets count once: as sorted strings, which are compared by hash
+    grams = F.transform(F.array_distinct(F.transform(grams, lambda g: F.array_join(F.array_sort(g), ","))), lambda g: F.split(g, ","))
 
     def matches(g: Column) -> Column:
         near = F.filter(known, lambda t: (F.least(F.size(g), t["n"]) >= F.lit(ratio) * F.greatest(F.size(g), t["n"])))
         scored = F.transform(near, lambda t: F.struct((F.lit(2.0) * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"])).alias("dice"), t["name"].alias("name")))
         return F.filter(scored, lambda s: s["dice"] >= threshold)
 
-    found = docs.select(id_col, F.filter(F.transform(grams, lambda g: F.array_max(matches(g))), lambda m: m.isNotNull()).alias("u"), _windows(text, table, threshold).alias("w"))
+    in_units = F.filter(F.transform(grams, lambda g: F.array_max(matches(g))), lambda m: m.isNotNull())
+    u_none, w_none = F.array().cast("array<struct<dice:double,name:string>>"), F.array().cast("array<struct<dice:double,name:string,a:int,z:int>>")
+    found = docs.select(id_col, F.when(hopeful, in_units).otherwise(u_none).alias("u"), F.when(hopeful, _windows(text, table, threshold)).otherwise(w_none).alias("w"))
     # windows come best first, so a licence's first one is its best
     names = F.array_distinct(F.transform("w", lambda s: s["name"]))
     more = F.transform(F.array_except(names, F.transform("u", lambda s: s["name"])), lambda n: F.struct(F.array_max(F.transform(F.filter("w", lambda s: s["name"] == n), lambda s: s["dice"])).alias("dice"), n.alias("name")))
@@ -166,7 +205,7 @@ def oracle(templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRES
     values = ", ".join("('{}', [{}], {})".format(n, ", ".join(f"'{x}'" for x in g), len(g)) for n, g in table)
     return f"""
 with t(name, grams, n) as (values {values}),
-u as (select doc_id, unnest(list_distinct(list_concat(string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '\\n[ \\t]*\\n'), [coalesce(text, '')]))) as unit from documents),
+u as (select doc_id, unnest(list_distinct(list_concat(string_split(coalesce(text, ''), chr(10)), regexp_split_to_array(coalesce(text, ''), '\\n[ \\t\\r]*\\n'), [coalesce(text, '')]))) as unit from documents),
 w as (select doc_id, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') as w from u),
 g as (select distinct doc_id, list_sort(list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))])) as g from w where len(w) > 1),
 s as (select doc_id, g, name, 2.0::double * len(list_intersect(g, grams)) / (len(g) + n) as dice from g, t where least(len(g), n) >= {ratio!r} * greatest(len(g), n)),
