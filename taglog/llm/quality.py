@@ -2,8 +2,11 @@
 
 Evidence: two classifiers learned from the labels give each document the probability that it is good. One is a logistic
 regression on how the text is written (shares of character classes, word lengths, repetition); the other is naive Bayes
-over the presence of telling words of unwanted content. Both are fitted on a bounded sample of labelled rows
-(``max_rows``, drawn by a seeded hash: a documented bound); the evidence is computed for every document.
+over the presence of telling words of unwanted content, whose sum is calibrated by a logistic fit of its own, so that the
+odds of a text without any such word are estimated too. Both are fitted on a bounded sample of labelled rows
+(``max_rows``, drawn by a seeded hash: a documented bound); all words that tell are kept, and each needs a fiftieth of
+the sample's unwanted texts, so their number is at most fifty times such a text's distinct words. The evidence is
+computed once for every document.
 
 Sites: the host's posterior is the mean evidence of its documents shrunk toward the global mean, the path's is that of
 its documents shrunk toward its host's. The shrinkage strengths are estimated from all sites by moments, so sparse sites
@@ -30,7 +33,6 @@ from pyspark.sql import functions as F
 from taglog.llm.common import ALNUM_WORDS, Words, buffers, cut, steps
 
 MAX_ROWS = 20_000
-MAX_WORDS = 512
 BROADCAST_SITES = 200_000
 KEEP = 0.5
 
@@ -92,9 +94,9 @@ class Evidence:
         z = np.clip((x - self.mean) / self.scale, -8, 8)
         return np.concatenate([z, np.minimum(z * z, 16), np.ones((len(z), 1))], axis=1)
 
-    def good(self, col: pa.Array) -> np.ndarray:
-        form = self._expand(features(col)) @ self.weight
-        lexical = np.full(len(col), self.word_prior)
+    def lexical(self, col: pa.Array) -> np.ndarray:
+        """Sum of the weights of the telling words that each text holds."""
+        out = np.zeros(len(col))
         if len(self.words):
             off, data = buffers(col)
             for i, j in steps(off):
@@ -103,7 +105,12 @@ class Evidence:
                 hit = np.flatnonzero(self.words[k] == w.hash)
                 own = np.searchsorted(w.first, hit, "right") - 1
                 pair = np.unique(own * len(self.words) + k[hit])
-                lexical[i:j] += np.bincount(pair // len(self.words), weights=self.word_weight[pair % len(self.words)], minlength=j - i)
+                out[i:j] += np.bincount(pair // len(self.words), weights=self.word_weight[pair % len(self.words)], minlength=j - i)
+        return out
+
+    def good(self, col: pa.Array) -> np.ndarray:
+        form = self._expand(features(col)) @ self.weight
+        lexical = self.word_prior + self.lexical(col)
         return 1 / (1 + np.exp(-np.clip(form, -30, 30))) / (1 + np.exp(np.clip(lexical, -30, 30)))
 
 
@@ -123,6 +130,19 @@ def _fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarr
     return w
 
 
+def _fit_weighted(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1e-4) -> tuple[float, float]:
+    """Constant and slope of a logistic fit to counted points."""
+    design, w, keep = np.stack([np.ones(len(x)), x], axis=1), np.zeros(2), np.full(2, ridge)
+    for _ in range(200):
+        p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
+        h = (design * (n * p * (1 - p) + 1e-9)[:, None]).T @ design + np.diag(keep)
+        step = np.linalg.solve(h, design.T @ (n * (p - y)) + keep * w)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-7:
+            break
+    return float(w[0]), float(w[1])
+
+
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: int = 3, id_col: str = "doc_id", text_col: str = "text", quality_col: str = "quality", unwanted_col: str = "toxic") -> Evidence:
     """Fit the evidence on at most about ``max_rows`` labelled documents."""
     rows = labels.select(F.col(id_col).alias("i"), F.col(quality_col).cast("int").alias("q"), F.coalesce(F.col(unwanted_col).cast("int"), F.lit(0)).alias("u")).where("i is not null and q is not null")
@@ -136,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: in
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in features(b.column(1))], pa.binary()), b.column(2), b.column(3), b.column(0).cast(pa.string())], names=["f", "q", "u", "i"])
 
-    got = sample.mapInArrow(dense, "f binary, q int, u int, i string").collect()
+    got = sample.mapInArrow(dense, "f binary, q int, u int, i string").dropDuplicates().limit(4 * max_rows).collect()  # an id may name several texts
     got.sort(key=lambda r: (r.i, bytes(r.f)))
     x = np.stack([np.frombuffer(r.f) for r in got]) if got else np.zeros((0, N_FEATURES))
     y = np.array([r.q > 0 for r in got], float)
@@ -160,13 +180,23 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, seed: in
         count = sample.mapInArrow(vocabulary, "w long, b long, n long").groupBy("w").agg(F.sum("b").alias("b"), F.sum("n").alias("n"))
         # words at least twenty times as frequent among unwanted documents, in two of a hundred of them or more
         telling = count.where((F.col("b") >= max(5, bad // 50)) & (F.col("b") * fine >= 20 * (F.col("n") - F.col("b")) * bad))
-        top = telling.orderBy(F.desc("b"), "w").limit(MAX_WORDS).collect()
+        top = telling.collect()
         words = np.array([r.w for r in top], np.int64).view(np.uint64)
         weight = np.array([np.log((r.b + 0.5) / (bad + 1)) - np.log((r.n - r.b + 0.5) / (fine + 1)) for r in top])
         order = np.argsort(words)
         out.words, out.word_weight = words[order], weight[order]
-        # a text without any of the words: prior odds times the odds of holding none of them
-        out.word_prior = float(np.log(bad / fine) - 3.0) if len(top) else -4.0
+        held = docs.sparkSession.sparkContext.broadcast(out)
+
+        def sums(batches):
+            for b in batches:
+                s, at = np.unique(np.stack([held.value.lexical(b.column(1)), b.column(3).to_numpy() > 0], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(s[:, 0]), pa.array(s[:, 1]), pa.array(at)], names=["s", "u", "n"])
+
+        got = sample.mapInArrow(sums, "s double, u double, n long").groupBy(F.round("s", 3).alias("s"), "u").agg(F.sum("n").alias("n")).orderBy("s", "u").collect()  # rounded sums
+        s, u, n = (np.array([r[k] for r in got], float) for k in range(3))
+        scale = max(1.0, float(np.abs(s).max(initial=0)))
+        a, b = _fit_weighted(s / scale, u, n)
+        out.word_prior, out.word_weight = a, out.word_weight * b / scale
     return out
 
 
@@ -193,8 +223,8 @@ def _sites(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES else df
 
 
-def judge(docs: DataFrame, evidence: Evidence, text_col: str = "text", source_col: str = "source", keep: float = KEEP) -> DataFrame:
-    """``docs`` with evidence, host_posterior, path_posterior, posterior and keep."""
+def judge(docs: DataFrame, evidence: Evidence, text_col: str = "text", source_col: str = "source", keep: float = KEEP, with_text: bool = True) -> DataFrame:
+    """``docs`` with evidence, host_posterior, path_posterior, posterior and keep; on request without the text, which is then read once and not carried on."""
     shared = docs.sparkSession.sparkContext.broadcast(evidence)
 
     @F.arrow_udf("double")
@@ -205,6 +235,7 @@ def judge(docs: DataFrame, evidence: Evidence, text_col: str = "text", source_co
     host, path = site_of(F.col(source_col))
     seen = docs.withColumn("_q_host", host).withColumn("_q_path", F.coalesce(path, F.lit(""))).withColumn("evidence", good(text_col))
     e = F.col("evidence")
+    seen = cut(seen if with_text else seen.drop(text_col))
     paths = seen.select("_q_host", "_q_path", "evidence").groupBy("_q_host", "_q_path").agg(F.count(F.lit(1)).alias("n"), F.sum(e).alias("s"), F.sum(e * e).alias("ss"))
     paths = cut(paths)
     hosts = paths.groupBy("_q_host").agg(*(F.sum(c).alias(c) for c in ("n", "s", "ss")))

@@ -32,7 +32,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     evidence = train_quality(docs, table(spark, sf_dir, "labels"))
-    return judge(docs.select("doc_id", "text", "source"), evidence).drop("text")
+    return judge(docs.select("doc_id", "text", "source"), evidence, with_text=False)
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
