@@ -7,8 +7,10 @@ a batched matrix product: the presence matrix of a batch times the landmarks' gr
 kernel is linear in presence, so this is the product with the landmark matrix regrouped), divided by the text's norm.
 
 Training reads only text and non-null lang of documents outside the held-out fold (crc32 of the id's digits modulo 4
-is 2), at most about ``per_lang`` texts a language, drawn by a seeded hash, and the ``MAX_LANGS`` most frequent
-languages: documented bounds. Rows travel to the driver as packed presence bits of fixed size, whatever their length.
+is 2). Every language is learned; it is fitted on about ``per_lang`` of its texts, or fewer where there are many
+languages (``MAX_ROWS`` over all languages, but at least ``LEAST`` each), drawn by a seeded hash: documented bounds.
+Texts become sorted gram numbers on the executors before anything is drawn together, equal texts of a language once, so
+the driver holds a few thousand rows of some kilobytes, whatever the texts' length.
 
 Defined results: null text or text without a letter is ``und`` with score 0; ties go to the first language in order;
 with no training rows every document is ``und``; repeated rows give repeated rows; other columns are not read.
@@ -28,7 +30,7 @@ from taglog.llm.common import ids_of
 
 PER_LANG = 240
 LANDMARKS_PER_LANG = 40
-MAX_LANGS = 256
+MAX_ROWS, LEAST, MAX_LANDMARKS = 6000, 6, 1200
 RIDGE = 1e-3
 DIMS = 3 << 16
 BATCH = 64
@@ -86,35 +88,44 @@ class Model:
 
 def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS_PER_LANG, ridge: float = RIDGE, seed: int = 5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~F.coalesce(held_out("i"), F.lit(True)))
-    counts = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MAX_LANGS).collect()
-    counts = {r.l: r["count"] for r in counts}
+    counts = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}  # a row a language
     if not counts:
         return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, per_lang / n))])
-    draw = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    each = max(min(LEAST, per_lang), min(per_lang, MAX_ROWS // len(counts)))
+    shares = docs.sparkSession.createDataFrame([(k, min(1.0, each / n)) for k, n in counts.items()], "l string, share double")
+    draw = F.pmod(F.xxhash64("i", "t", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bits = []
+            grams = []
             for t in b.column(1):
                 flags = np.zeros(DIMS, np.uint8)
                 presence(t.as_py(), flags)
-                bits.append(np.packbits(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits, pa.binary())], names=["l", "g"])
+                grams.append(np.flatnonzero(flags).astype("<u4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(grams, pa.binary())], names=["l", "g"])
 
-    chosen = rows.where(draw < F.try_element_at(share, F.col("l"))).orderBy(F.xxhash64("i", F.lit(seed))).limit(2 * per_lang * len(counts)).select("l", "t")
-    sample = chosen.mapInArrow(run, "l string, g binary").collect()
+    chosen = rows.join(F.broadcast(shares), "l").where(draw < F.col("share")).select("l", "t")
+    sample = chosen.mapInArrow(run, "l string, g binary").groupBy("l", F.xxhash64("g").alias("h")).agg(F.min("g").alias("g")).collect()
     sample.sort(key=lambda r: (r.l, bytes(r.g)))
+    if not sample:
+        return Model([], np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     langs = sorted({r.l for r in sample})
     y = np.array([langs.index(r.l) for r in sample])
-    bits = np.stack([np.frombuffer(r.g, np.uint8) for r in sample])
+    held = [np.frombuffer(r.g, "<u4").astype(np.int64) for r in sample]
+    size = np.sqrt(np.maximum(1, np.array([len(g) for g in held], np.float64)))
     rng = np.random.default_rng(seed)
-    mark = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:landmarks] for c in range(len(langs))])
-    own = np.unpackbits(bits[mark], axis=1)
-    dims = np.flatnonzero(own.any(axis=0))
-    own = own[:, dims].astype(np.float32)
-    size = np.sqrt(np.bitwise_count(bits).sum(axis=1, dtype=np.int64).astype(np.float64))
-    k = np.concatenate([np.unpackbits(bits[a : a + 100], axis=1)[:, dims].astype(np.float32) @ own.T for a in range(0, len(bits), 100)])
+    few = max(1, min(landmarks, MAX_LANDMARKS // len(langs)))
+    mark = np.concatenate([rng.permutation(np.flatnonzero(y == c))[:few] for c in range(len(langs))])
+    dims = np.unique(np.concatenate([held[i] for i in mark]))
+    place = np.full(DIMS, -1, np.int64)
+    place[dims] = np.arange(len(dims))
+    own = np.zeros((len(mark), len(dims)), np.float32)  # at most MAX_LANDMARKS rows, or one a language
+    for r, i in enumerate(mark.tolist()):
+        own[r, place[held[i]]] = 1
+    k = np.empty((len(held), len(mark)))
+    for i, g in enumerate(held):
+        at = place[g]
+        k[i] = own[:, at[at >= 0]].sum(axis=1)
     k = k / size[:, None] / size[mark][None, :]
     value, vector = np.linalg.eigh(k[mark])
     good = value > 1e-6 * value.max()
@@ -123,7 +134,7 @@ def train(docs: DataFrame, per_lang: int = PER_LANG, landmarks: int = LANDMARKS_
     target = np.where(y[:, None] == np.arange(len(langs))[None, :], 1.0, -1.0)
     weigh = (len(y) / len(langs) / np.bincount(y, minlength=len(langs)))[y][:, None]
     dual = root @ np.linalg.solve(z.T @ (weigh * z) + ridge * len(y) * np.eye(z.shape[1]), z.T @ (weigh * target))
-    weight = own.T.astype(np.float64) @ (dual / size[mark][:, None])
+    weight = own.T @ (dual / size[mark][:, None]).astype(np.float32)
     return Model(langs, dims, weight.astype(np.float32))
 
 
