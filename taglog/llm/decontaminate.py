@@ -6,8 +6,9 @@ by counts over the whole corpus. Each place where a document has a prefix token
 a place is dropped by position and length (the window must lie inside the document), and what is left is verified
 word by word over the window. A document word inside any occurring window is hit.
 
-The benchmark is the stated query set. It is read in blocks of at most ``BLOCK_BYTES`` of text, each sent to the
-executors as one broadcast; every block is one narrow pass over the documents, which carries the hit words along, so
+The benchmark is the stated query set. It is read in blocks of at most ``BLOCK_BYTES`` of text (a longer item is a block
+of its own), each sent to the executors as one broadcast of its distinct windows; every block is one narrow pass over the
+documents, which carries the hit words along and is cut before the next block is built. One block at a time is held, so
 neither the number of documents nor the size of the benchmark is bounded, and documents are never shuffled.
 
 Defined results: null or word-free texts have no words and no hits; an empty benchmark hits nothing; repeated rows
@@ -23,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from taglog.llm.common import ALNUM_WORDS, STEP_BYTES, Words, buffers, ids_of, steps
+from taglog.llm.common import ALNUM_WORDS, STEP_BYTES, Words, buffers, cut, ids_of, shingles, steps
 
 BLOCK_BYTES = 8 << 20
+#: (place, window) candidates that are verified at once.
+AT_ONCE = 1 << 20
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> Iterator[list[tuple[str, str]]]:
@@ -44,31 +47,36 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, most: int) -> It
 
 
 class WindowIndex:
-    """The windows of one block of items, listed under their rarest word."""
+    """The distinct windows of one block of items, listed under their rarest word, each with the items that hold it."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int, counts: dict[int, int]) -> None:
-        self.items = [i for i, _ in items]
+    def __init__(self, items: list[tuple[str, str]], window: int, counts: dict[int, int], least: int = 1) -> None:
         off, data = buffers(pa.array([t for _, t in items], pa.string()))
         words = Words(off, data, ALNUM_WORDS)
-        rarity = np.array([counts.get(int(h), 0) for h in words.hash], np.int64)
-        listed: dict[int, list[tuple[int, int, int]]] = {}  # token -> (item, first word, words)
-        at: dict[int, list[int]] = {}
-        for i in range(len(items)):
-            a, b = int(words.first[i]), int(words.first[i + 1])
-            n = min(window, b - a)
-            for s in range(a, b - n + 1) if n else ():
-                k = min(range(n), key=lambda j: (rarity[s + j], int(words.hash[s + j])))
-                listed.setdefault(int(words.hash[s + k]), []).append((i, s, n))
-                at.setdefault(int(words.hash[s + k]), []).append(k)
-        self.token = np.array(sorted(listed), np.uint64)
-        self.begin = np.zeros(len(self.token) + 1, np.int64)
-        np.cumsum([len(listed[int(t)]) for t in self.token], out=self.begin[1:])
-        flat = [x for t in self.token for x in listed[int(t)]]
-        self.item = np.array([x[0] for x in flat], np.int64)
-        self.start = np.array([x[1] for x in flat], np.int64)
-        self.size = np.array([x[2] for x in flat], np.int64)
-        self.place = np.array([k for t in self.token for k in at[int(t)]], np.int64)
+        names, number = np.unique(np.array([i for i, _ in items], object), return_inverse=True) if items else ([], np.zeros(0, np.int64))
+        self.items = list(names)
         self.words = words.hash
+        of, begin = shingles(words, window)
+        text = np.repeat(np.arange(len(items)), np.diff(begin))
+        start = words.first[:-1][text] + np.arange(len(of)) - begin[:-1][text]
+        size = np.minimum(window, np.diff(words.first))[text]
+        ok = size >= least
+        of, text, start, size = of[ok], text[ok], start[ok], size[ok]
+        _, first, same = np.unique(of, return_index=True, return_inverse=True)
+        pair = np.unique(same * max(1, len(names)) + number[text])  # (window, item), once each
+        self.item = pair % max(1, len(names))
+        self.item_edge = np.searchsorted(pair // max(1, len(names)), np.arange(len(first) + 1))
+        self.start, self.size = start[first], size[first]
+        vocabulary, at = np.unique(words.hash, return_inverse=True)
+        rarity = np.argsort(np.argsort(np.array([counts.get(h, 0) for h in vocabulary.tolist()], np.int64), kind="stable"))[at]  # ties by hash
+        self.place = np.zeros(len(first), np.int64)
+        for n in np.unique(self.size).tolist():
+            own = np.flatnonzero(self.size == n)
+            self.place[own] = rarity[self.start[own][:, None] + np.arange(n)].argmin(axis=1)
+        key = self.words[self.start + self.place]
+        order = np.argsort(key, kind="stable")
+        self.listed = order
+        self.token, begin = np.unique(key[order], return_index=True)
+        self.begin = np.r_[begin, len(order)]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[(self.token & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -82,7 +90,16 @@ class WindowIndex:
         ok = self.token[t] == words.hash[p]
         p, t = p[ok], t[ok]
         n = self.begin[t + 1] - self.begin[t]
-        w = np.repeat(self.begin[t], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        found = [(empty, empty, empty)]
+        a = 0
+        while a < len(p):  # places whose words head many windows are taken a bounded number at a time
+            z = a + max(1, int(np.searchsorted(np.cumsum(n[a:]), AT_ONCE, "right")))
+            found.append(self._verify(words, p[a:z], t[a:z], n[a:z]))
+            a = z
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _verify(self, words: Words, p: np.ndarray, t: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        w = self.listed[np.repeat(self.begin[t], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)]
         p = np.repeat(p, n)
         doc = np.searchsorted(words.first, p, "right") - 1
         first = p - self.place[w]
@@ -95,6 +112,14 @@ class WindowIndex:
             doc, first, w = doc[same], first[same], w[same]
         return doc, first, w
 
+    def items_of(self, doc: np.ndarray, window: np.ndarray) -> dict[int, set[str]]:
+        """Items with a window in each document."""
+        by: dict[int, set[str]] = {}
+        pair = np.unique(doc * max(1, len(self.start)) + window)
+        for d, w in zip((pair // max(1, len(self.start))).tolist(), (pair % max(1, len(self.start))).tolist(), strict=True):
+            by.setdefault(d, set()).update(self.items[x] for x in self.item[self.item_edge[w] : self.item_edge[w + 1]])
+        return by
+
 
 def word_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> dict[int, int]:
     """How often each word of a block's vocabulary occurs in the whole corpus."""
@@ -124,20 +149,15 @@ def word_counts(docs: DataFrame, text_col: str, vocabulary: np.ndarray) -> dict[
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(id, n_words, n_hit, items array of sorted distinct item ids) for each document."""
+def decontaminate(
+    docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", block_bytes: int = BLOCK_BYTES, least: int = 1
+) -> DataFrame:
+    """(id, n_words, n_hit, items array of sorted distinct item ids) for each document. Windows of fewer than ``least`` words do not count."""
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"{id_col} {kind}, text string, n_words long, hit binary, items array<string>"
     source = docs.select(id_col, F.col(text_col).alias("text"))
     out = source.select(id_col, "text", F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("binary").alias("hit"), F.array().cast("array<string>").alias("items"))
     sc = docs.sparkSession.sparkContext
-    indexes = []
-    for block in _blocks(benchmark, item_col, item_text_col, block_bytes):
-        off, data = buffers(pa.array([t for _, t in block], pa.string()))
-        counts = word_counts(source, "text", Words(off, data, ALNUM_WORDS).hash)
-        indexes.append(sc.broadcast(WindowIndex(block, window, counts)))
-    if not indexes:
-        indexes = [sc.broadcast(WindowIndex([], window, {}))]
 
     def one_pass(index, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,13 +168,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col
                 for i, j in steps(off, STEP_BYTES):
                     words = Words(off[i : j + 1], data[off[i] : off[j]], ALNUM_WORDS)
                     doc, first, w = ix.find(words)
-                    edge = np.zeros(len(words.hash) + 1, np.int64)
-                    np.add.at(edge, first, 1)
-                    np.add.at(edge, first + ix.size[w], -1)
+                    edge = np.bincount(first, minlength=len(words.hash) + 1) - np.bincount(first + ix.size[w], minlength=len(words.hash) + 1)
                     hit = np.cumsum(edge)[:-1] > 0
-                    by: dict[int, set] = {}
-                    for d, x in zip(doc.tolist(), ix.item[w].tolist(), strict=True):
-                        by.setdefault(d, set()).add(ix.items[x])
+                    by = ix.items_of(doc, w)
                     for d in range(j - i):
                         a, z = words.first[d], words.first[d + 1]
                         own, seen = hit[a:z], b.column(3)[i + d].as_py()
@@ -171,10 +187,17 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 8, id_col
 
         return run
 
-    for k, index in enumerate(indexes):
-        last = k == len(indexes) - 1
-        out = out.mapInArrow(one_pass(index, last), f"{id_col} {kind}, n_words long, n_hit long, items array<string>" if last else schema)
-    return out
+    blocks = _blocks(benchmark, item_col, item_text_col, block_bytes)
+    block = next(blocks, [])
+    while True:
+        after = next(blocks, None)
+        off, data = buffers(pa.array([t for _, t in block], pa.string()))
+        index = sc.broadcast(WindowIndex(block, window, word_counts(source, "text", Words(off, data, ALNUM_WORDS).hash), least))
+        if after is None:
+            return out.mapInArrow(one_pass(index, True), f"{id_col} {kind}, n_words long, n_hit long, items array<string>")
+        out = cut(out.mapInArrow(one_pass(index, False), schema))  # the block is done with before the next one is built
+        index.unpersist()
+        block = after
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
