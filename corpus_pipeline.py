@@ -2,8 +2,9 @@
 
 Stages take (spark, docs, sf_dir); all but the last return the columns of ``documents``. Quality: rejected documents go.
 Near duplicates (word 5-grams, Jaccard 0.8 or more): of each class the row with the smallest id stays (of equal ids one).
-Decontamination: documents that hold a window of any benchmark item go (a leak is often a single item, whole). PII: found spans are replaced and n_chars
-follows. Packing: the rest is packed into sequences.
+Decontamination: documents that hold a window of 8 words of any benchmark item go (a leak is often a single item, whole);
+shorter items, such as an answer of one word, are no evidence and are not looked for. PII: found spans are replaced and
+n_chars follows. Packing: the rest is packed into sequences.
 """
 
 from __future__ import annotations
@@ -18,6 +19,10 @@ from taglog.llm.jaccard import jaccard_classes
 from taglog.llm.packing import pack_documents
 
 
+#: Words that a benchmark window must have to drop a document.
+LEAST_WORDS = 8
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     evidence = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.judge(docs, evidence).where("keep").select(*docs.columns)
@@ -43,7 +48,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     placed = _placed(docs)
-    found = decontaminate(placed, table(spark, sf_dir, "benchmark"), id_col="_at")
+    found = decontaminate(placed, table(spark, sf_dir, "benchmark"), id_col="_at", least=LEAST_WORDS)
     bad = found.where(F.size("items") > 0).select(F.col("_at").alias("_bad")).distinct()
     return placed.join(bad, placed["_at"] == bad["_bad"], "left_anti").select(*docs.columns)
 
