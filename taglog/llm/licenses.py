@@ -166,10 +166,15 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = ALL, thresh
     low, high = min(len(g) for _, g in table) * ratio, max(len(g) for _, g in table) / ratio
     known = F.array(*(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in table))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    low_text = F.lower(text)
-    hopeful = functools.reduce(lambda a, w: a | F.contains(low_text, F.lit(w)), telling_words(table, threshold), F.lit(False))
-    spaced = F.concat(F.lit(" "), F.regexp_replace(low_text, "[^a-z0-9]+", " "), F.lit(" "))
-    hopeful &= F.exists(F.array(*map(F.lit, telling_bigrams(table, threshold))), lambda x: F.contains(spaced, F.concat(F.lit(" "), x, F.lit(" "))))
+    # each step is a column that the next one refers to, so that it is computed once, and only where the step before says so
+    told = functools.reduce(lambda a, w: a | F.contains("_lic_low", F.lit(w)), telling_words(table, threshold), F.lit(False))
+    paired = functools.reduce(lambda a, x: a | F.contains("_lic_spaced", F.lit(f" {x} ")), telling_bigrams(table, threshold), F.lit(False))
+    spaced = F.concat(F.lit(" "), F.regexp_replace("_lic_low", "[^a-z0-9]+", " "), F.lit(" "))
+    hopeful = docs.select(F.col(id_col), text.alias("_lic_text"), F.lower(text).alias("_lic_low"))
+    hopeful = hopeful.select(id_col, "_lic_text", "_lic_low", told.alias("_lic_told"))
+    hopeful = hopeful.select(id_col, "_lic_text", F.when(F.col("_lic_told"), spaced).alias("_lic_spaced"))
+    hopeful = hopeful.select(id_col, "_lic_text", F.coalesce(paired, F.lit(False)).alias("_lic_hope"))
+    text = F.col("_lic_text")
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, "\n[ \t\r]*\n"), F.array(text)))
     words = F.transform(units, _words)
     # a unit of n words has at most n - 1 distinct bigrams
@@ -185,7 +190,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = ALL, thresh
 
     in_units = F.filter(F.transform(grams, lambda g: F.array_max(matches(g))), lambda m: m.isNotNull())
     u_none, w_none = F.array().cast("array<struct<dice:double,name:string>>"), F.array().cast("array<struct<dice:double,name:string,a:int,z:int>>")
-    found = docs.select(id_col, F.when(hopeful, in_units).otherwise(u_none).alias("u"), F.when(hopeful, _windows(text, table, threshold)).otherwise(w_none).alias("w"))
+    hope = F.col("_lic_hope")
+    found = hopeful.select(id_col, F.when(hope, in_units).otherwise(u_none).alias("u"), F.when(hope, _windows(text, table, threshold)).otherwise(w_none).alias("w"))
     # windows come best first, so a licence's first one is its best
     names = F.array_distinct(F.transform("w", lambda s: s["name"]))
     more = F.transform(F.array_except(names, F.transform("u", lambda s: s["name"])), lambda n: F.struct(F.array_max(F.transform(F.filter("w", lambda s: s["name"] == n), lambda s: s["dice"])).alias("dice"), n.alias("name")))
