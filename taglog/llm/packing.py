@@ -48,6 +48,8 @@ LONG_RUN = 2000
 CLASSES = (2, 3, 6, 24)
 #: New sequences that one row stands for at most, between supersteps.
 FRESH = 50_000
+#: Pieces or gaps that a range or a file between supersteps is reckoned to hold; it moves their number, nothing else.
+RANGE_ROWS = 50_000
 
 #: Fixed value: how byte-level BPE files of this family split text before merging.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -288,7 +290,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bounds = sorted({capacity // k + 1 for k in CLASSES} | {1}, reverse=True)
     which = sum((F.when(F.col("length") < b, 1).otherwise(0) for b in bounds), F.lit(0))
-    present = {r.k for r in parts.groupBy(which.alias("k")).agg(F.count(F.lit(1))).collect()}
+    present = {r.k: r.n for r in parts.groupBy(which.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect()}
     names = parts.columns
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in parts.schema.fields]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.schema.fields)
@@ -302,7 +304,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         usable = gaps.where(F.col("gap") >= low)
         items = items.unionByName(usable.select(F.col("gap").alias("size"), F.lit(0).alias("kind"), "sequence_id"), allowMissingColumns=True)
         order = [F.col("size").desc(), F.col("kind"), F.col("sequence_id"), F.col(id_col), F.col("piece")]
-        ranged = items.repartitionByRange(n, *order).sortWithinPartitions(*order)
+        ranged = items.repartitionByRange(min(n, (present[k] + sequences) // RANGE_ROWS + 1), *order).sortWithinPartitions(*order)
         swept = cut(ranged.mapInArrow(_sweep(capacity, fields), f"p int, kind int, rank long, gap long, sequence_id long, offset long, {schema}"))
         found = swept.where("rank >= 0").groupBy("p", "kind", F.coalesce("gap", "length").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()
         *tables, fresh, sequences = resolve([tuple(r) for r in found], capacity, sequences)
@@ -317,7 +319,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY, id_col: str = "doc_id") ->
         if k < max(present):
             used = swept.where("kind = 0").select(F.col("p").cast("long").alias("p"), "gap", "rank", "sequence_id").mapInArrow(_shrink(shared), "sequence_id long, gap long")
             opened = spark.createDataFrame(fresh, "first long, n long, gap long").select(F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)).alias("sequence_id"), "gap")
-            gaps = cut(gaps.where(F.col("gap") < low).unionByName(used).unionByName(opened).where("gap > 0").coalesce(n))
+            gaps = cut(gaps.where(F.col("gap") < low).unionByName(used).unionByName(opened).where("gap > 0").coalesce(min(n, sequences // RANGE_ROWS + 1)))
     if out is None:
         out = parts.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     return out
